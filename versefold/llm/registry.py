@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from versefold.session import ship
+
 #: Query name -> module and function here.
 QUERIES = {
     "op1_fingerprints": ("fingerprints", "op1"),
     "op2_chat": ("chat", "op2"),
     "op5_sharding": ("sharding", "op5"),
     "op7_mixing": ("mixing", "op7"),
+    "op8_jaccard_join": ("jaccard", "op8"),
 }
 
 
 def queries() -> dict:
-    out = {name: getattr(import_module(f"versefold.llm.{module}"), function) for name, (module, function) in QUERIES.items()}
+    def shipped(f):
+        return wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
+
+    out = {name: shipped(getattr(import_module(f"versefold.llm.{module}"), function)) for name, (module, function) in QUERIES.items()}
     return out
 
 
