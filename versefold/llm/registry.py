@@ -14,6 +14,7 @@ QUERIES = {
     "op5_sharding": ("sharding", "op5"),
     "op7_mixing": ("mixing", "op7"),
     "op8_jaccard_join": ("jaccard", "op8"),
+    "op10_id_store": ("id_store", "op10"),
 }
 
 
