@@ -11,9 +11,11 @@ from versefold.session import ship
 QUERIES = {
     "op1_fingerprints": ("fingerprints", "op1"),
     "op2_chat": ("chat", "op2"),
+    "op3_decontamination": ("decontamination", "op3"),
     "op5_sharding": ("sharding", "op5"),
     "op7_mixing": ("mixing", "op7"),
     "op8_jaccard_join": ("jaccard", "op8"),
+    "op9_quality": ("quality", "op9"),
     "op10_id_store": ("id_store", "op10"),
 }
 
