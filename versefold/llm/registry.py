@@ -13,6 +13,7 @@ QUERIES = {
     "op2_chat": ("chat", "op2"),
     "op3_decontamination": ("decontamination", "op3"),
     "op5_sharding": ("sharding", "op5"),
+    "op6_wrappers": ("wrappers", "op6"),
     "op7_mixing": ("mixing", "op7"),
     "op8_jaccard_join": ("jaccard", "op8"),
     "op9_quality": ("quality", "op9"),
