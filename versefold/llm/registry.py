@@ -12,6 +12,7 @@ QUERIES = {
     "op1_fingerprints": ("fingerprints", "op1"),
     "op2_chat": ("chat", "op2"),
     "op3_decontamination": ("decontamination", "op3"),
+    "op4_maxent_lm": ("maxent", "op4"),
     "op5_sharding": ("sharding", "op5"),
     "op6_wrappers": ("wrappers", "op6"),
     "op7_mixing": ("mixing", "op7"),
@@ -26,7 +27,9 @@ def queries() -> dict:
         return wraps(f)(lambda spark, sf_dir: f(ship(spark), sf_dir))
 
     out = {name: shipped(getattr(import_module(f"versefold.llm.{module}"), function)) for name, (module, function) in QUERIES.items()}
-    return out
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | out
 
 
 def oracle_sql() -> dict[str, str]:
