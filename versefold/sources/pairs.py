@@ -55,8 +55,13 @@ def list_files(spark: SparkSession, folder: str, but: str | None = None, pattern
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
+    """The names in the first line; a byte order mark, which Spark's reader drops, stays."""
     first = spark.read.text(path).limit(1).collect()
-    return first[0][0].rstrip("\r").split(",") if first else []
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    marked = [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    stream.close()
+    return ("\ufeff" * marked + first[0][0].lstrip("\ufeff").rstrip("\r")).split(",") if first else []
 
 
 def checked_header(names: list[str], policy: Policy, path: str) -> list[str]:
