@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from versefold.llm.common import block_of, cut_points, n_parts, shared_dir, stored, table, with_offsets
-from versefold.llm.textscan import text_slices
+from versefold.llm.textscan import Words, text_slices
 
 END_ID, WINDOW, LEAST, MASK, MOST = 1, 16, 64, 255, 2048
 DIGEST = 16
-CACHE_WORDS = 300_000
+#: Words that a Python worker remembers (about 100 bytes each), in a table of 2^SLOT_BITS slots.
+CACHE_WORDS, SLOT_BITS = 1_000_000, 21
 U = np.uint64
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _coders: dict[str, Coder] = {}
@@ -31,62 +34,91 @@ _coders: dict[str, Coder] = {}
 class Coder:
     """Ids of texts by the tokenizers library, with a memory of the ids of words.
 
-    Exact: white space separates tokens in this vocabulary and is dropped, so a text's ids are
-    those of its runs of other bytes, one after another. Each run is encoded by the library,
-    once while it is remembered; the memory is emptied when full."""
+    Exact: this vocabulary drops white space and case and never merges over the border of ASCII
+    letters and punctuation (apostrophes aside), so a text's ids are those of the runs between,
+    one after another. Each run is encoded by the library, once while it
+    is remembered (by a 64-bit hash; the memory is emptied when full). Texts that hold a special
+    token's name, where case does count, are encoded by the library as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or rb"(?!)", re.I)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.new: list[bytes] = []
+        self.used, self.known = 0, 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self) -> None:
-        known = len(self.index) - len(self.new)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-        self.new = []
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.names = np.zeros(1 << SLOT_BITS, np.uint64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each known word, -1 for others: open addressing, all words at once."""
+        out = np.full(len(h), -1, np.int64)
+        slot, left = (h >> U(64 - SLOT_BITS)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            at = self.slots[slot]
+            hit = (at >= 0) & (self.names[slot] == h[left])
+            out[left[hit]] = at[hit]
+            more = (at >= 0) & ~hit
+            left, slot = left[more], (slot[more] + 1) & (1 << SLOT_BITS) - 1
+        return out
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.index) > len(self.start):
+        while self.known + len(ids) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = [x for one in ids for x in one]
-        self.length[known : len(self.index)] = lengths
-        self.start[known : len(self.index)] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        new = slice(self.known, self.known + len(ids))
+        self.length[new], self.start[new] = lengths, self.used + np.cumsum(lengths) - lengths
+        numbers, slot = np.arange(new.start, new.stop), (h >> U(64 - SLOT_BITS)).astype(np.int64)
+        while len(numbers):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            placed = np.zeros(len(slot), bool)
+            placed[free[one]] = True
+            self.slots[slot[placed]], self.names[slot[placed]] = numbers[placed], h[placed]
+            numbers, h, slot = numbers[~placed], h[~placed], (slot[~placed] + 1) & (1 << SLOT_BITS) - 1
+        self.used, self.known = self.used + total, self.known + len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of texts that stand in data."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        raw, at, counts = data.tobytes(), [], []
-        index, new = self.index, self.new
-        for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-            words = raw[a:b].split()
-            counts.append(len(words))
-            for w in words:
-                i = index.get(w)
-                if i is None:
-                    i = index[w] = len(index)
-                    new.append(w)
-                at.append(i)
-        if new:
-            self.learn()
-        at = np.array(at, np.int64)
+        w = Words(data, offsets, apart=True)
+        at = self.find(w.hash)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            h, first = np.unique(w.hash[new], return_index=True)
+            if self.known + len(h) > CACHE_WORDS and self.known:
+                self.clear()
+                return self.encode(data, offsets)
+            if len(h) > CACHE_WORDS:  # a text of very many different words: by the library alone
+                raw = data.tobytes()
+                parts = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                return np.array(list(chain.from_iterable(parts)), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            raw, first = data.tobytes(), new[first]
+            self.learn(h, [raw[a:b].decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
+            at[new] = self.find(w.hash[new])
         length = self.length[at]
-        ends = np.cumsum(length)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(self.start[at], length)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return self.flat[where], bounds
+        ends = np.concatenate([[0], np.cumsum(length)])
+        where = np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], length)
+        ids, bounds = self.flat[where], ends[w.of]
+        if self.special.search(data):
+            ids, bounds = self.with_special(data, offsets, ids, bounds)
+        return ids, bounds
+
+    def with_special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, parts = data.tobytes(), []
+        for a, b, i, j in zip(offsets.tolist(), offsets[1:].tolist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+            text = raw[a:b]
+            parts.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32) if self.special.search(text) else ids[i:j])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def coder(path: str) -> Coder:
@@ -129,7 +161,7 @@ def encode_docs(path: str, kind: str):
         code = coder(path)
         for batch in batches:
             doc_ids, blocks = batch.column("doc_id").to_pylist(), batch.column("block").to_pylist()
-            for i, j, data, offsets in text_slices(batch.column("text"), 1 << 21):
+            for i, j, data, offsets in text_slices(batch.column("text"), 1 << 20):
                 ids, bounds = code.encode(data, offsets)
                 ids = np.insert(ids, bounds[1:], END_ID)
                 bounds = bounds + np.arange(len(bounds))
