@@ -46,3 +46,20 @@ def test_checkpoint(spark, tmp_path, monkeypatch):
     assert {p.name for p in (tmp_path / "o" / "poems").glob("name=*")} == {"name=tua", "name=tua-2"}
     a = cli.parser().parse_args(["plan", "--genre", "that-ngon-bat-cu"])
     assert a.run(spark, a) == {"configured_results": 4575, "window_capacity": 1057}
+
+
+def test_crawl(spark, tmp_path, monkeypatch):
+    poem = '<div class="poem-content"><div class="poem-view-separated"><p class="han-chinese">天</p><h4>Tựa</h4><p>một</p></div></div>'
+    listing = '<h4 class="list-item-header"><a href="/a/poem-1">A</a></h4><h4 class="list-item-header"><a href="/a/poem-2">B</a></h4>'
+    monkeypatch.setattr(pages, "http_get", None)
+    monkeypatch.setattr(pages, "patient", lambda get, **k: lambda url: poem if "/poem-" in url else listing)
+    a = cli.parser().parse_args(["crawl", "--genre", "that-ngon-bat-cu", "--output-dir", str(tmp_path), "--limit", "2"])
+    monkeypatch.setattr(cli.discover, "fetched", lambda urls, make: local(urls, listing))
+    monkeypatch.setattr(pages, "fetched", lambda urls, make: local(urls, poem))
+    got = a.run(spark, a)
+    assert (got["discovered_poems"], got["written_csv_files"]) == (2, 2)
+    assert pages.challenged('<div class="g-recaptcha">') and not pages.challenged('<div class="g-recaptcha"> list-item-header')
+
+
+def local(urls, page):
+    return urls.select("url").withColumn("html", cli.F.lit(page))

@@ -1,4 +1,4 @@
-"""Commands: merge, split, vocabulary, score, filter-sitemap, collect, checkpoint.
+"""Commands: crawl, checkpoint, merge, split, vocabulary, score, filter-sitemap, plan, is-challenge.
 
     python -m versefold.cli split --input-dir in --output-dir out [--train-ratio 0.8 ...]
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from versefold.config import GENRES, RATIOS, SEED, SPLITS
 from versefold.functions.text import filename_stem, is_access_challenge, stem_with_uid, tokenize_source, tokenize_target
 from versefold.functions.urls import normalize_author
-from versefold.operators import collect, metrics, sets, split, vocab
+from versefold.operators import collect, discover, metrics, sets, split, vocab
 from versefold.operators.ordering import dense_numbers, stem_names
 from versefold.session import local_session, ship, stored
 from versefold.sources import pages, pairs, sinks, state
@@ -100,6 +100,28 @@ def checkpoint(spark: SparkSession, a: argparse.Namespace) -> dict:
     return collect_urls(spark, state.checkpoint_urls(doc), progress, a, make)
 
 
+def crawl(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Discover a genre's poems, save the checkpoint, and collect what is still open."""
+    genre, delay = GENRES[a.genre], a.delay
+
+    def make():
+        return pages.patient(pages.http_get, delay=delay, is_challenge=pages.challenged)
+
+    d = discover.Discovery(spark, genre, make)
+    if genre.poem_type is None:
+        urls = discover.group_tree(spark, a.start, make)
+    elif a.limit:
+        urls = discover.limited(spark, genre, make, a.limit)
+    else:
+        urls = d.shallow() if genre.mode == "shallow" else d.country_age()
+        if not d.save(os.path.join(a.output_dir, "poem_urls.json"), genre.name) and genre.mode != "shallow":
+            raise discover.DiscoveryError(f"{genre.name}: the discovery isn't complete")
+    order = [F.col(c) for c in urls.columns if c != "url"][0]
+    listed = dense_numbers(urls.select("url", order.alias("seq")), F.lit(0), [F.col("seq")], "url_idx").drop("seq")
+    none = spark.createDataFrame([], "url string, status string, output string, sentence_pairs long, error string")
+    return collect_urls(spark, stored(listed, "urls"), none, a, make)
+
+
 def plan(spark: SparkSession, a: argparse.Namespace) -> dict:
     genre = GENRES[a.genre]
     counts = spark.createDataFrame([(c, age, n) for c, ages in genre.ages.items() for age, n in ages.items()], "country string, age string, results long")
@@ -128,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
     command("score", score, ("--predictions", need), ("--limit", {"type": int}))
     command("filter-sitemap", filter_sitemap, ("--xml-dir", need), ("--author", many), ("--authors-file", many), ("--host", many), ("--scope", {"choices": ("poem", "all"), "default": "poem"}), ("--dry-run", {"action": "store_true"}))
     command("checkpoint", checkpoint, ("--url-checkpoint", need), ("--source", need), ("--output-dir", need), ("--progress", {}), ("--progress-schema", {"default": "poem-progress-v1"}), ("--limit", {"type": int}), ("--delay", {"type": float, "default": 5.0}), ("--overwrite", {"action": "store_true"}), ("--retry-skipped", {"action": "store_true"}))
+    command("crawl", crawl, ("--genre", {"choices": sorted(GENRES), "required": True}), ("--output-dir", need), ("--start", {}), ("--limit", {"type": int}), ("--delay", {"type": float, "default": 5.0}), ("--overwrite", {"action": "store_true"}), ("--retry-skipped", {"action": "store_true"}))
     command("plan", plan, ("--genre", {"choices": sorted(GENRES), "required": True}))
     command("is-challenge", challenge, ("--page", need))
     return top

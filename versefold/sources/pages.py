@@ -65,6 +65,12 @@ def patient(get: Callable[[str], str], retries: int = 4, delay: float = DELAY, j
     return fetch
 
 
+def challenged(page: str) -> bool:
+    """The plain form of text.is_access_challenge, for a page just fetched."""
+    ordinary = ('class="poem-content', "list-item-header", 'name="PoemType"', "search-author.php")
+    return "Xác nhận không phải máy truy cập tự động" in page or 'class="g-recaptcha"' in page and not any(m in page for m in ordinary)
+
+
 def allowed(robots_txt: str, url: str, agent: str = "*") -> bool:
     parser = urllib.robotparser.RobotFileParser()
     parser.parse(robots_txt.splitlines())
