@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,34 +44,29 @@ def edit_counts_native(ref: Column, pred: Column) -> Column:
 
 
 def align(ref: str, pred: str) -> tuple[int, int, int]:
-    """S, D, I by anti-diagonals of the alignment table, each computed at once."""
-    a, b = (np.fromiter(map(ord, x), np.int64, len(x)) for x in (ref, pred))
-    n, m = len(a), len(b)
-    # Cells by reference position; (distance, s, d, i) of two diagonals before.
-    before2, before = np.zeros((4, n + 1), np.int64), np.zeros((4, n + 1), np.int64)
+    """S, D, I by anti-diagonals of the alignment table, each computed at once. A cell packs its
+    distance, substitutions and deletions; insertions are what is left of the distance."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (ref, pred))
+    n, m, back = len(a), len(b), b[::-1]
+    one, sub, gone = 1 << 42, 1 << 21, 1
+    before2 = before = np.zeros(n + 1, np.int64)
     for k in range(1, n + m + 1):
-        now = np.zeros((4, n + 1), np.int64)
-        lo, hi = max(0, k - m), min(n, k)
-        at = np.arange(max(lo, 1), min(hi, k - 1) + 1)
-        if len(at):
-            miss = (a[at - 1] != b[k - at - 1]).astype(np.int64)
-            g = before2[:, at - 1].copy()
-            g[0] += miss
-            g[1] += miss
-            left = before[:, at - 1].copy()
-            left[0] += 1
-            left[2] += 1
-            up = before[:, at].copy()
-            up[0] += 1
-            up[3] += 1
-            best = np.where((g[0] <= left[0]) & (g[0] <= up[0]), g, np.where(left[0] <= up[0], left, up))
-            now[:, at] = best
+        now = np.zeros(n + 1, np.int64)
+        lo, hi = max(1, k - m), min(n, k - 1)
+        if lo <= hi:
+            g = before2[lo - 1 : hi] + (a[lo - 1 : hi] != back[m - k + lo : m - k + hi + 1]) * (one + sub)
+            left, up = before[lo - 1 : hi] + (one + gone), before[lo : hi + 1] + one
+            g_cost, left_cost, up_cost = g >> 42, left >> 42, up >> 42
+            rest = np.where(left_cost <= up_cost, left, up)
+            now[lo : hi + 1] = np.where(g_cost <= np.minimum(left_cost, up_cost), g, rest)
         if k <= m:
-            now[:, 0] = (k, 0, 0, k)
+            now[0] = k * one
         if k <= n:
-            now[:, k] = (k, 0, k, 0)
+            now[k] = k * (one + gone)
         before2, before = before, now
-    return tuple(int(x) for x in before[1:, n]) if n + m else (0, 0, 0)
+    last = int(before[n])
+    distance, s, d = last >> 42, last >> 21 & 0x1FFFFF, last & 0x1FFFFF
+    return s, d, distance - s - d
 
 
 @F.pandas_udf(EDITS)
@@ -115,3 +111,24 @@ def fscore(lcs: Column, ref: Column, pred: Column) -> Column:
     """2 LCS / (both lengths); 1 if both are empty."""
     total = F.length(ref) + F.length(pred)
     return F.when(total == 0, 1.0).otherwise(2.0 * lcs / total)
+
+
+GRAMS = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("matches", "in_ref", "in_pred"))]))
+
+
+def gram_stats(orders: int):
+    """Column function: for each order the clipped matches and numbers of two strings' character
+    n-grams. It needs nothing but the row, so no n-gram is ever shuffled."""
+
+    def one(ref: str, pred: str) -> list[tuple[int, int, int, int]]:
+        out = []
+        for n in range(1, orders + 1):
+            a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (ref, pred))
+            out.append((n, (a & b).total(), a.total(), b.total()))
+        return out
+
+    @F.pandas_udf(GRAMS)
+    def run(ref: pd.Series, pred: pd.Series) -> pd.Series:
+        return pd.Series([one(r or "", p or "") for r, p in zip(ref, pred, strict=True)])
+
+    return run

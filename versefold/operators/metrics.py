@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versefold.functions.scores import edit_counts, edit_counts_native, fscore, lcs_length, lcs_length_native
+from versefold.functions.scores import edit_counts, edit_counts_native, fscore, gram_stats, lcs_length, lcs_length_native
 from versefold.functions.text import normalize_target
 
 
@@ -31,23 +31,12 @@ def totals(rows: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
     return rows.agg(n.alias("samples"), F.count_if("exact_match").alias("exact_matches"), (F.count_if("exact_match") / F.nullif(n, F.lit(0))).alias("exact_accuracy"), cer.alias("cer"), (1 - cer).alias("char_accuracy"), F.avg("news_fscore").alias("news_fscore"), chars.alias("ref_chars"), F.sum(F.length(pred)).cast("long").alias("pred_chars"), *(F.sum(c).cast("long").alias(c) for c in ("substitutions", "deletions", "insertions")))
 
 
-def gram_counts(pairs: DataFrame, orders: int, key: str = "row_idx", ref: str = "ref", pred: str = "pred") -> DataFrame:
+def gram_counts(pairs: DataFrame, orders: int, ref: str = "ref", pred: str = "pred") -> DataFrame:
     """(n, matches, ref_total, pred_total, pred_counted) by order: clipped matches of character
     n-grams within rows; pred_counted leaves out rows whose reference has none of the order.
-
-    n-grams are counted by (row, order, gram) with partial sums in each task."""
-    n = F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("n")
-
-    def grams(text: str):
-        count = F.length(text) - F.col("n") + 1
-        at = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-        return F.filter(F.transform(at, lambda i: F.substr(F.col(text), i, F.col("n"))), lambda g: F.length(g) == F.col("n"))
-
-    by_order = pairs.select(key, ref, pred, n)
-    sides = [by_order.select(key, "n", F.explode(grams(t)).alias("gram"), F.lit(int(t == ref)).alias("r")) for t in (ref, pred)]
-    counts = sides[0].unionByName(sides[1]).groupBy(key, "n", "gram").agg(F.sum("r").alias("in_ref"), F.sum(1 - F.col("r")).alias("in_pred"))
-    rows = counts.groupBy(key, "n").agg(F.sum(F.least("in_ref", "in_pred")).alias("m"), F.sum("in_ref").alias("a"), F.sum("in_pred").alias("b"))
-    return rows.groupBy("n").agg(F.sum("m").alias("matches"), F.sum("a").alias("ref_total"), F.sum("b").alias("pred_total"), F.sum(F.when(F.col("a") > 0, F.col("b")).otherwise(0)).alias("pred_counted"))
+    Rows are counted by themselves; only sums by order are shuffled."""
+    rows = pairs.select(F.inline(gram_stats(orders)(F.col(ref), F.col(pred)))).where("in_ref > 0 or in_pred > 0")
+    return rows.groupBy("n").agg(F.sum("matches").alias("matches"), F.sum("in_ref").alias("ref_total"), F.sum("in_pred").alias("pred_total"), F.sum(F.when(F.col("in_ref") > 0, F.col("in_pred")).otherwise(0)).alias("pred_counted"))
 
 
 def lengths(pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> tuple[int, int]:
@@ -76,8 +65,7 @@ def bleu_of(grams: dict[int, tuple[int, int]], ref_len: int, pred_len: int, effe
 
 def char_bleu(pairs: DataFrame, effective: bool = True, **names: str) -> float:
     rows = gram_counts(pairs, 4, **names).collect()  # four rows
-    sides = {k: v for k, v in names.items() if k != "key"}
-    return bleu_of({r["n"]: (r["matches"], r["pred_total"]) for r in rows}, *lengths(pairs, **sides), effective)
+    return bleu_of({r["n"]: (r["matches"], r["pred_total"]) for r in rows}, *lengths(pairs, **names), effective)
 
 
 def chrf_row(grams: DataFrame) -> DataFrame:
@@ -88,13 +76,13 @@ def chrf_row(grams: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.when(p + r == 0, 0.0).otherwise(100 * 5 * p * r / (4 * p + r)), F.lit(0.0)).alias("chrf2"))
 
 
-def evaluation(pairs: DataFrame, ref: str, pred: str, key: str = "row_idx") -> dict[str, float | int]:
+def evaluation(pairs: DataFrame, ref: str, pred: str) -> dict[str, float | int]:
     """All scores of raw strings, strictly and without punctuation (names end in _no_punct)."""
     out: dict[str, float | int] = {}
     for suffix, ignore in (("", False), ("_no_punct", True)):
-        rows = pairs.select(key, normalize_target(F.col(ref), ignore).alias("ref"), normalize_target(F.col(pred), ignore).alias("pred"))
+        rows = pairs.select(normalize_target(F.col(ref), ignore).alias("ref"), normalize_target(F.col(pred), ignore).alias("pred"))
         row = totals(details(rows)).first().asDict()
-        row["bleu"] = char_bleu(rows, key=key)
-        row["chrf2"] = chrf_row(gram_counts(rows, 6, key)).first()[0]
+        row["bleu"] = char_bleu(rows)
+        row["chrf2"] = chrf_row(gram_counts(rows, 6)).first()[0]
         out |= {k + suffix: v for k, v in row.items()}
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from versefold.functions.text import detokenize_source, detokenize_target
 from versefold.operators.ordering import dense_numbers
+from versefold.session import stored
 
 #: Ids of the special tokens.
 PAD, UNK, FIRST, LAST = 0, 1, 2, 3
@@ -23,11 +24,14 @@ def exploded(rows: DataFrame, tokens: Column, key: str) -> DataFrame:
 
 def vocabulary(rows: DataFrame, tokens: Column, key: str = "row_idx", specials: tuple[str, ...] = SOURCE_SPECIALS) -> DataFrame:
     """(token, freq, id) of all tokens: ids after the specials by falling frequency, ties by first
-    occurrence (key, then position). Tokens that are specials keep their special id."""
-    at = F.struct(F.col(key).alias("k"), "pos")
+    occurrence (key, then position). Tokens that are specials keep their special id.
+
+    Key and position share a long (keys from 0 below 2^36, positions below 2^27), so the counts
+    are a hash aggregation with partial sums."""
+    at = F.shiftleft(F.col(key).cast("long"), 27) + F.col("pos")
     counts = exploded(rows, tokens, key).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min(at).alias("first"))
-    plain = counts.where(~F.col("token").isin(*specials))
-    block = F.struct((-F.col("freq")).alias("f"), F.floor(F.col("first.k") / 4096).alias("b"))
+    plain = stored(counts.where(~F.col("token").isin(*specials)), "counts")
+    block = F.struct((-F.col("freq")).alias("f"), F.shiftright("first", 27 + 12).alias("b"))
     return dense_numbers(plain, block, [F.col("first")], "rank").select("token", "freq", (F.col("rank") + len(specials) - 1).cast("int").alias("id"))
 
 

@@ -59,6 +59,11 @@ def documents_vocabulary(t) -> DataFrame:
     return vocab.vocabulary(t("documents"), text.tokenize_source(F.col("text")), "doc_id")
 
 
+def stored_vocabulary(t) -> DataFrame:
+    """Written once, as it is counted and then joined."""
+    return stored(documents_vocabulary(t), "vocabulary")
+
+
 # --- text, tokens, vocabulary -------------------------------------------------------------
 
 
@@ -92,15 +97,15 @@ def normalize_target(t) -> DataFrame:
 SELECT CAST(sum(n) AS BIGINT) AS total_tokens, CAST(coalesce(sum(n) FILTER (v.token IS NOT NULL), 0) AS BIGINT) AS covered_tokens, count(*) AS total_unique, count(v.token) AS covered_unique,
  round(coalesce(sum(n) FILTER (v.token IS NOT NULL), 0) / sum(n) * 100, 6) AS token_coverage, round(count(v.token) / count(*) * 100, 6) AS unique_coverage FROM n LEFT JOIN voc v ON n.token = v.token""")
 def vocab_coverage(t) -> DataFrame:
-    out = vocab.coverage(t("benchmark"), text.tokenize_source(F.col("text")), documents_vocabulary(t), "item_id")
+    out = vocab.coverage(t("benchmark"), text.tokenize_source(F.col("text")), stored_vocabulary(t), "item_id")
     return out.withColumns({c: F.round(c, 6) for c in ("token_coverage", "unique_coverage")})
 
 
 ENCODED_SQL = f"""{VOCAB_SQL}, enc AS (SELECT item_id, list_concat([2], list_concat(list(coalesce(v.id, 1) ORDER BY pos), [3])) AS ids FROM ({exploded_sql("benchmark", "item_id")}) e LEFT JOIN voc v ON e.token = v.token GROUP BY item_id)"""
 
 
-def encoded_benchmark(t) -> DataFrame:
-    return vocab.encoded(t("benchmark"), text.tokenize_source(F.col("text")), documents_vocabulary(t), "item_id")
+def encoded_benchmark(t, known: DataFrame | None = None) -> DataFrame:
+    return vocab.encoded(t("benchmark"), text.tokenize_source(F.col("text")), stored_vocabulary(t) if known is None else known, "item_id")
 
 
 def listed(ids: str | Column) -> Column:
@@ -115,7 +120,8 @@ def encode_ids(t) -> DataFrame:
 @query(f"""WITH {VOCAB_SQL}, e AS (SELECT item_id, string_agg(CASE WHEN v.id IS NULL THEN '<UNK>' ELSE e.token END, ' ' ORDER BY pos) AS s FROM ({exploded_sql("benchmark", "item_id")}) e LEFT JOIN voc v ON e.token = v.token GROUP BY item_id)
 SELECT item_id, regexp_replace(regexp_replace(regexp_replace(s, {quoted(SPACE + "+([,.!?;:])")}, '\\1', 'g'), {quoted(SPACE + "+([。！？；：，、）】」』])")}, '\\1', 'g'), {quoted("([（【「『])" + SPACE + "+")}, '\\1', 'g') AS text FROM e""")
 def decode_ids(t) -> DataFrame:
-    return vocab.decoded(encoded_benchmark(t), F.col("ids"), documents_vocabulary(t), "item_id")
+    known = stored_vocabulary(t)
+    return vocab.decoded(encoded_benchmark(t, known), F.col("ids"), known, "item_id")
 
 
 @query(f"""WITH {ENCODED_SQL}, cut AS (SELECT item_id, item_id // 16 AS batch, ids[1:48] AS src, ids[1:40] AS tgt FROM enc),
