@@ -50,3 +50,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/work-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least: int = 4 << 20, most: int = 128 << 20) -> DataFrame:
+    """Rows of a small table dealt out to all cores, for work that costs more than the shuffle.
+    Tables of at most `most` bytes may be one file with one row group, which one task reads;
+    larger ones have enough splits of their own and are left as they are, as are tiny ones."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if least <= size <= most else df
