@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import wraps
 from importlib import import_module
 
+from versefold.llm.oracles import ORACLES
 from versefold.session import ship
 
 #: Query name -> module and function here.
@@ -33,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
