@@ -209,6 +209,51 @@ def test_decontamination_blocks(spark, sf, monkeypatch):
     assert sorted(map(tuple, decontamination.op3(spark, sf).collect())) == whole and whole
 
 
+def plain_overlap(text, item):
+    """Whether any span of any diagonal has 80 % equal tokens, 13 of them or 80 % of the item."""
+    need = min(13, -(-len(item) * 4 // 5))
+    for d in range(-len(item) + 1, len(text)):
+        at = range(max(0, -d), min(len(item), len(text) - d))
+        sums = [0, *itertools.accumulate(text[k + d] == item[k] for k in at)]
+        for i, j in itertools.combinations(range(len(sums)), 2):
+            if sums[j] - sums[i] >= need and 5 * (sums[j] - sums[i]) >= 4 * (j - i):
+                return True
+    return False
+
+
+def test_decontamination_substitutions(spark):
+    """10, 15 and 20 % of an item's tokens changed at random, and every fifth."""
+    rng = random.Random(7)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate([8, 9, 10, 13, 15, 16, 17, 20, 30, 45, 59])]
+    rows, want, d = [], set(), 0
+    for share, (k, item), _ in itertools.product((10, 15, 20, 25, 0), enumerate(items), range(12)):
+        off = rng.sample(range(len(item)), len(item) * share // 100) if share else range(rng.randrange(5), len(item), 5)
+        t = [f"o{rng.random()}" if j in off else x for j, x in enumerate(item)]
+        t = [f"o{rng.random()}" for _ in range(rng.randint(0, 9))] + t + ["end"] * rng.randint(0, 9)
+        rows.append((d, " ".join(t), "en", "a", 1))
+        if plain_overlap(t, item):
+            want.add((d, k))
+        d += 1
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(5 * r.n_matched >= 4 * (r.last_token - r.first_token) for r in got)
+
+
+def test_decontamination_masks_miss_nothing():
+    """The most matches of a sequence without a hit, by its last bits, stay below 80 %."""
+    bits = max(map(len, decontamination.MASKS)) - 1
+    state, best = np.arange(1 << bits), np.where(np.arange(1 << bits) == 0, 0, -1000)
+    for n in range(1, 200):
+        now = np.full(1 << bits, -1000)
+        for bit in (0, 1):
+            full = state << 1 | bit
+            hit = np.any([full & int(m, 2) == int(m, 2) for m in decontamination.MASKS], axis=0)
+            np.maximum.at(now, full & (1 << bits) - 1, np.where(hit, -1000, best + bit))
+        best = now
+        assert n < 8 or 5 * best.max() < 4 * n
+
+
 # --- 4 language model
 
 
