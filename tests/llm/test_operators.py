@@ -373,6 +373,44 @@ def test_wrappers_joined(spark, sf, monkeypatch):
         assert n == len(text) and "<p>" not in text and "&amp;" not in text
 
 
+def host_of_two_layouts(spark):
+    """150 pages, ordered by the hash of page_id: the first 8 share an article line that differs on
+    the others; twelve late ones have another layout with a line of the site's in it."""
+    ids = [r.id for r in spark.range(150).orderBy(F.xxhash64("id")).collect()]
+    rows, want = [], {}
+    for k, i in enumerate(ids):
+        line = "The same line." if k < 8 else f"Line {i}."
+        want[i] = f"{line}\nText {i}."
+        page = f"<body><article><div>{line}</div><p>Text {i}.</p></article></body>"
+        if k >= 30 and k % 10 == 0:
+            page = f"<body><main><div>Our site since 1999</div><p>Text {i}.</p></main></body>"
+            want[i] = f"Text {i}."
+        rows.append((i, "http://h.example/x", page))
+    return spark.createDataFrame(rows, "page_id long, url string, html string"), want
+
+
+def test_wrappers_of_all_pages(spark):
+    df, want = host_of_two_layouts(spark)
+    assert {r.page_id: r.text for r in wrappers.extracted(df).collect()} == want
+
+
+def test_wrappers_merged_as_a_tree(spark, monkeypatch):
+    df, want = host_of_two_layouts(spark)
+    monkeypatch.setattr(wrappers, "FAN_IN", 2)
+    for parts in (1, 13):
+        assert {r.page_id: r.text for r in wrappers.extracted(df.repartition(parts)).collect()} == want
+
+
+def test_wrapper_counts_bounded():
+    """Odd pages don't hide the site's texts, and class words of single pages don't pile up."""
+    page = lambda i: f"<article><div>Share this</div><p>Text {i}.</p><div class='{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'x' * (i // 100)}z'>Own {i}</div></article>"
+    pages = [page(i) for i in range(400)] + ["", "<article><div>Share that</div><p>Text.</p></article>"]
+    whole = wrappers.infer(pages)
+    assert len(whole["k"][0]["k"]) <= wrappers.PARTS and len(whole["k"][0]["k"][0]["k"][0]["v"]) <= wrappers.CONSTANTS
+    labels = wrappers.labelled(whole)
+    assert [wrappers.extract(pages[i], labels) for i in (7, 399, 400, 401)] == ["Text 7.\nOwn 7", "Text 399.\nOwn 399", "", "Share that\nText."]
+
+
 # --- 7 mixing
 
 

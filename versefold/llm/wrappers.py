@@ -3,25 +3,37 @@
 A wrapper is a tree of block elements whose children form a regular expression without unions:
 a child is needed, optional or repeated, and holds text slots. It is made by aligning the pages
 of a host one after another: children that both have are merged, what only one has becomes
-optional, runs of equal siblings become a repeated group, texts that differ become slots."""
+optional, runs of equal siblings become a repeated group, texts that differ become slots. All
+pages of a host take part: tasks align theirs, and partial wrappers are merged as a tree."""
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versefold.llm.common import keyed_filter, stored, table
-
-#: Pages of a host that its wrapper is made from at most, the first by a hash of page_id; the
-#: wrapper is then applied to all pages.
-SAMPLE = 8
+from versefold.llm.common import stored, table
+
+#: Share of the pages with the article's root on which a text is the same, so that it is the site's.
+SAME = 0.9
+#: Constants counted for a text; where there are more, all counts are lowered by the next one's, so
+#: one on 90 % of pages is short by at most a hundredth of them.
+CONSTANTS = 8
+#: Children of an element that a wrapper holds, the commonest. Beyond it (class words that differ
+#: from page to page) rare ones are judged by their signature, as elements not in the wrapper are.
+PARTS = 256
+#: Partial wrappers that are merged at once, and hosts that a task holds before it hands them on.
+FAN_IN, HELD = 64, 500
 BROADCAST_BYTES = 16 << 20
+DEEP = 1 << 16
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -100,11 +112,13 @@ def tree(page: str) -> Node:
 
 
 def new_part(node: Node | str) -> dict:
-    """A wrapper part: s signature, m multiplicity (1, ? or +), k children; for text t, with c
-    the constant or null for a slot, and n its mean length."""
+    """A wrapper part: s signature, m multiplicity (1, ? or +), p pages that have it, o times it
+    occurs, k children; for text c the constant or null for a slot, n its whole length, v counts of
+    its constants."""
     if isinstance(node, str):
-        return {"s": "#", "m": "1", "c": " ".join(html.unescape(node).split())[:400], "n": len(node)}
-    return {"s": node.sign, "m": "1", "k": folded([new_part(k) for k in node.kids])}
+        said = " ".join(html.unescape(node).split())
+        return {"s": "#", "m": "1", "p": 1, "o": 1, "c": said[:400], "n": len(node), "v": {said: 1} if len(said) < 200 else {}}
+    return {"s": node.sign, "m": "1", "p": 1, "o": 1, "k": folded([new_part(k) for k in node.kids])}
 
 
 def folded(parts: list[dict]) -> list[dict]:
@@ -112,23 +126,35 @@ def folded(parts: list[dict]) -> list[dict]:
     out: list[dict] = []
     for p in parts:
         if out and out[-1]["s"] == p["s"] and p["s"] != "#":
-            out[-1] = merged(out[-1], p) | {"m": "+"}
+            out[-1] = merged(out[-1], p, True) | {"m": "+"}
         else:
             out.append(p)
     return out
 
 
-def merged(a: dict, b: dict) -> dict:
+def merged(a: dict, b: dict, siblings: bool = False) -> dict:
+    """Both parts as one: of different pages, or siblings."""
     m = "+" if "+" in (a["m"], b["m"]) else "?" if "?" in (a["m"], b["m"]) else "1"
+    out = {"s": a["s"], "m": m, "p": max(a["p"], b["p"]) if siblings else a["p"] + b["p"], "o": a["o"] + b["o"]}
     if a["s"] == "#":
-        return {"s": "#", "m": m, "c": a["c"] if a["c"] == b["c"] else None, "n": (a["n"] + b["n"]) / 2}
-    return {"s": a["s"], "m": m, "k": aligned(a["k"], b["k"])}
+        return out | {"c": a["c"] if a["c"] == b["c"] else None, "n": a["n"] + b["n"], "v": counted(a["v"], b["v"])}
+    return out | {"k": aligned(a["k"], b["k"], siblings)}
+
+
+def counted(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
+    out = dict(a)
+    for x, n in b.items():
+        out[x] = out.get(x, 0) + n
+    if len(out) > CONSTANTS:
+        less = sorted(out.values(), reverse=True)[CONSTANTS]
+        out = {x: n - less for x, n in out.items() if n > less}
+    return out
 
 
-def aligned(a: list[dict], b: list[dict]) -> list[dict]:
+def aligned(a: list[dict], b: list[dict], siblings: bool = False) -> list[dict]:
     """Align two child sequences by their longest common one; the rest is optional."""
     if [x["s"] for x in a] == [x["s"] for x in b]:
-        return [merged(x, y) for x, y in zip(a, b, strict=True)]
+        return [merged(x, y, siblings) for x, y in zip(a, b, strict=True)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -136,22 +162,34 @@ def aligned(a: list[dict], b: list[dict]) -> list[dict]:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i]["s"] == b[j]["s"]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], siblings))
             i, j = i + 1, j + 1
         else:
             left = j >= len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]
             one = a[i] if left else b[j]
             i, j = (i + 1, j) if left else (i, j + 1)
             out.append(one | {"m": "?"} if one["m"] == "1" else one)
-    return folded(out)
+    out = folded(out)
+    if len(out) > PARTS:
+        least = sorted((x["p"] for x in out), reverse=True)[PARTS - 1]
+        spare = PARTS - sum(x["p"] > least for x in out)
+        kept = []
+        for x in out:
+            if x["p"] > least or x["p"] == least and spare > 0:
+                spare -= x["p"] == least
+                kept.append(x)
+        out = kept
+    return out
 
 
+@functools.lru_cache(1 << 16)
 def is_around(sign: str, inside_main: bool) -> bool:
     """Whether an element of this signature is set apart from the article."""
     tag, *words = sign.split(".")
     return tag in AROUND or tag == "header" and not inside_main or any(w in AROUND_WORDS for w in words) or "header" in words and tag != "header" and not inside_main
 
 
+@functools.lru_cache(1 << 16)
 def main_rank(sign: str) -> int:
     """Lower is likelier to be the article: its element, then main, then words of its class."""
     tag, *words = sign.split(".")
@@ -164,70 +202,97 @@ def main_rank(sign: str) -> int:
     return min((3 + MAIN_WORDS.index(w) for w in words if w in MAIN_WORDS), default=99)
 
 
-def mass(part: dict) -> float:
-    return part["n"] if part["s"] == "#" else sum(map(mass, part["k"])) * (3 if part["m"] == "+" else 1)
+def mass(part: dict) -> int:
+    """Length of all text of a part on all pages."""
+    return part["n"] if part["s"] == "#" else sum(map(mass, part["k"]))
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages, its parts labelled: l = 1 for the article's root, 0 for parts
-    that are left out (elements set apart, and inside the article short texts that are the same
-    on at least three pages while others differ)."""
-    whole: dict | None = None
-    for page in pages:
-        part = new_part(tree(page))
-        whole = part if whole is None else merged(whole, part)
-    assert whole is not None
-    found: list[tuple[int, float, dict]] = []
-
-    def search(part: dict) -> None:
-        for kid in part.get("k", []):
-            if kid["s"] == "#":
-                continue
-            if is_around(kid["s"], False):
-                kid["l"] = 0
-                continue
-            found.append((main_rank(kid["s"]), -mass(kid), kid))
-            search(kid)
-
-    search(whole)
-    if found:
-        best = min(x[0] for x in found)
-        root = min((x for x in found if x[0] == best), key=lambda x: x[1])[2]
-        if best == 99:
-            root = next((k for k in whole.get("k", []) if k["s"].split(".")[0] in ("html", "body")), whole)
-        root["l"] = 1
-    else:
-        whole["l"] = 1
-        root = whole
+    """The wrapper of some pages."""
+    return functools.reduce(merged, (new_part(tree(page)) for page in pages))
+
 
-    def slots(part: dict) -> int:
-        return int(part["c"] is None) if part["s"] == "#" else sum(map(slots, part["k"]))
+def varies(part: dict) -> bool:
+    return part["c"] is None if part["s"] == "#" else any(map(varies, part["k"]))
 
-    varies = slots(root) > 0
 
-    def label(part: dict) -> None:
-        for kid in part.get("k", []):
+def labelled(whole: dict) -> dict:
+    """What extraction needs of a wrapper, by signature: k children, r the text that an element
+    which may be the article's root has on all pages, x the site's own texts (short ones that are
+    the same on nearly all pages with their root, and on three at least, while others differ)."""
+
+    def walk(part: dict, root: dict, rank: int, outer: bool) -> dict:
+        out: dict = {}
+        changes: bool | None = None
+        for kid in part["k"]:
             if kid["s"] == "#":
-                if varies and len(pages) >= 3 and kid["m"] == "1" and kid["c"] is not None and len(kid["c"]) < 200 and part["m"] == "1" and not part["s"].startswith("h"):
-                    kid["l"] = 0
-            elif is_around(kid["s"], True):
-                kid["l"] = 0
-            else:
-                label(kid)
+                if part["o"] > part["p"] / SAME or part["s"].startswith("h") and part["s"] != "html":
+                    continue
+                same = [x for x, n in kid["v"].items() if x and n >= max(3, SAME * root["p"])]
+                if same:
+                    changes = varies(root) if changes is None else changes
+                if same and changes:
+                    out["x"] = sorted({*out.get("x", []), *same})
+            elif not is_around(kid["s"], True):
+                free, own = outer and not is_around(kid["s"], False), main_rank(kid["s"])
+                better = free and own < rank
+                below = walk(kid, kid if better else root, own if better else rank, free)
+                if free and own < 99:
+                    below["r"] = mass(kid)
+                at = out.setdefault("k", {})
+                at[kid["s"]] = joined(at[kid["s"]], below) if kid["s"] in at else below
+        return out
+
+    return walk(whole, whole, 99, True)
+
+
+def joined(a: dict, b: dict) -> dict:
+    """Labels of two parts with the same signature."""
+    out = a | b
+    if "r" in a and "r" in b:
+        out["r"] = a["r"] + b["r"]
+    if "x" in a and "x" in b:
+        out["x"] = sorted({*a["x"], *b["x"]})
+    if "k" in a and "k" in b:
+        out["k"] = a["k"] | {s: joined(a["k"][s], k) if s in a["k"] else k for s, k in b["k"].items()}
+    return out
 
-    label(root)
-    return whole
 
+def own_mass(node: Node) -> int:
+    return sum(len(k) if isinstance(k, str) else own_mass(k) for k in node.kids)
 
-def extract(page: str, wrapper: dict | None) -> str:
-    """The article's text by the wrapper: its blocks, in order. Elements that the wrapper doesn't
-    have are judged by their signature; a page that holds none of the article's root, by its own
+
+def article(root: Node, labels: dict) -> tuple[str, ...]:
+    """Signatures from the page's top to its article's root: of the elements that may be it, one of
+    the best name, then that with most text on all pages of the host, then on this one; a page
+    without any is taken whole."""
+    best: tuple | None = None
+    stack: list[tuple[Node, dict, tuple[str, ...]]] = [(root, labels, ())]
+    while stack:
+        node, known, path = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, str) or is_around(kid.sign, False):
+                continue
+            label, at, rank = known.get("k", {}).get(kid.sign, {}), (*path, kid.sign), main_rank(kid.sign)
+            if rank < 99 and (best is None or rank <= best[0]):
+                found = (rank, -label.get("r", 0), 0 if label.get("r") else -own_mass(kid), at)
+                best = found if best is None else min(best, found)
+            stack.append((kid, label, at))
+    if best is not None:
+        return best[3]
+    return next(((k.sign,) for k in root.kids if not isinstance(k, str) and k.tag in ("html", "body")), ())
+
+
+def extract(page: str, labels: dict) -> str:
+    """The article's text by the host's labels: its blocks, in order. Elements that the wrapper
+    doesn't have are judged by their signature; a page whose article's root is empty, by its own
     structure alone."""
     root = tree(page)
     blocks: list[str] = []
 
-    def walk(node: Node, part: dict | None, inside: bool) -> None:
-        parts = {p["s"]: p for p in part["k"]} if part is not None and "k" in part else {}
+    def walk(node: Node, known: dict, depth: int, path: tuple[str, ...]) -> None:
+        """depth: how many steps of the path lead here, -1 off it; past its end is inside."""
+        inside = depth == len(path)
         run: list[str] = []
 
         def flush() -> None:
@@ -237,23 +302,19 @@ def extract(page: str, wrapper: dict | None) -> str:
                 blocks.append(said)
 
         for kid in node.kids:
-            known = parts.get("#" if isinstance(kid, str) else kid.sign)
             if isinstance(kid, str):
-                if known is not None and known.get("l") == 0 and " ".join(html.unescape(kid).split()) == known["c"]:
-                    continue
-                run.append(kid)
+                if "x" not in known or " ".join(html.unescape(kid).split()) not in known["x"]:
+                    run.append(kid)
                 continue
             flush()
-            if known is not None and known.get("l") == 0 or is_around(kid.sign, inside):
-                continue
-            walk(kid, known, inside or known is not None and known.get("l") == 1)
+            if not is_around(kid.sign, inside):
+                on = inside or 0 <= depth < len(path) and path[depth] == kid.sign
+                walk(kid, known.get("k", {}).get(kid.sign, {}), depth + (not inside) if on else -1, path)
         flush()
 
-    walk(root, wrapper, wrapper is not None and wrapper.get("l") == 1)
-    if not blocks and wrapper is not None and page.strip():
-        own = infer([page])
-        if own != wrapper:
-            walk(root, own, own.get("l") == 1)
+    walk(root, labels, 0, article(root, labels))
+    if not blocks and page.strip():
+        walk(root, {}, 0, article(root, {}))
     return "\n".join(blocks)
 
 
@@ -262,18 +323,54 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_host(key: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
-    order = sorted(zip(t.column("page_id").to_pylist(), t.column("html").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(infer([x[1] for x in order[: 4 * SAMPLE]]))]})
+PARTIAL = "host string, task int, number int, wrapper string"
+
+
+def align_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to a partial wrapper of each host."""
+    sys.setrecursionlimit(DEEP)
+    task, number = TaskContext.get().partitionId(), 0
+    held: dict[str, dict] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        n = len(held)
+        return pa.record_batch([pa.array(list(held), pa.string()), pa.array([task] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "task", "number", "wrapper"])
+
+    for b in batches:
+        for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+            part = new_part(tree(page))
+            held[host] = merged(held[host], part) if host in held else part
+            if len(held) > HELD:
+                yield handed_on()
+                held.clear()
+                number += 1
+    if held:
+        yield handed_on()
+
+
+def merge_partials(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    sys.setrecursionlimit(DEEP)
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("task", "number", "wrapper")), strict=True), key=lambda r: r[:2])
+    whole = functools.reduce(merged, (json.loads(r[2]) for r in rows))
+    return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "task": pa.array([rows[0][0]], pa.int32()), "number": pa.array([rows[0][1]], pa.int32()), "wrapper": [json.dumps(whole)]})
+
+
+def label_host(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    whole = merge_partials(key, t).column("wrapper")[0].as_py()
+    return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": [json.dumps(labelled(json.loads(whole)))]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON). Only ids are ranked, with a limit in each task, so no host's
-    pages meet anywhere but the few sampled ones."""
-    w = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    ids = pages.select("host", "page_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).select("page_id").distinct()
-    some = keyed_filter(pages.select("host", "page_id", "html"), stored(ids, "sampled"), "left_semi", "page_id")
-    return some.groupBy("host").applyInArrow(infer_host, "host string, wrapper string")
+    """(host, labels as JSON) from all pages. Each task aligns its pages of a host; partial wrappers
+    are merged FAN_IN at a time, so no host's pages meet anywhere, however many it has."""
+    made = stored(pages.select("host", "html").mapInArrow(align_pages, PARTIAL), "partials")
+    most = made.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN_IN:
+        salts = -(-most // FAN_IN)
+        salt = F.pmod(F.xxhash64("task", "number"), F.lit(salts))
+        made = stored(made.groupBy("host", salt.alias("salt")).applyInArrow(merge_partials, PARTIAL), "partials")
+        most = min(salts, made.groupBy("host").count().agg(F.max("count")).first()[0] or 0)
+    return made.groupBy("host").applyInArrow(label_host, "host string, wrapper string")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -291,6 +388,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         given, of = pages.join(made, "host", "left"), lambda _, wrapper: wrapper
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(DEEP)
         parsed: dict[str, dict] = {}
         for b in batches:
             texts = []
