@@ -299,6 +299,26 @@ def test_maxent_is_a_distribution(spark, docs):
         assert total + share[maxent.TAIL] * tail + empty == pytest.approx(1, abs=1e-3)
 
 
+def test_maxent_words_within_class(spark):
+    """A context prefers one word over another of its class and count; all of a class add up to 1."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["red fox", "blue hen"]) for _ in range(40)), "en", "a", 1) for i in range(200)]
+    learn = frame(spark, rows).select("doc_id", "text")
+    lex = maxent.Lexicon(maxent.word_counts(learn, *maxent.clustered(learn), 8))
+    lex.klass[:] = lex.class_of[: len(lex.keys)] = 0
+    lex.below[0] = (lex.count + maxent.SMOOTH).sum()
+    lex.grow()
+    model = maxent.train(learn, lex)
+    raw = np.frombuffer(b"red fox blue hen red", np.uint8)
+    s = maxent.Sequence(textscan.Words(raw, np.array([0, len(raw)])), lex)
+    fox, hen, k = s.ids[1], s.ids[3], 5
+    share = np.zeros(len(lex.keys))
+    for word in range(len(share)):
+        s.ids[k] = word
+        share[word] = np.exp(model.log_within(s, k, k + 1, s.features(k, k + 1))[0]) * 10 ** lex.rest[word]
+    assert share.sum() == pytest.approx(1, abs=1e-5) and share[fox] > 3 * share[hen]
+
+
 @pytest.mark.parametrize("rows", [ODD, EMPTY, ODD[2:4]])
 def test_maxent_odd(spark, rows):
     out, n = maxent.score_documents(frame(spark, rows))

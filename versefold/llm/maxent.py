@@ -1,9 +1,10 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-p(word | context) = p(class | context) p(word | class). The class softmax sums weights of hashed
-features: the word before (bigram), the two before (trigram), the words two and three back
-(skips), and the last three classes. Words of a class are smoothed by their counts. Classes are
-clusters of the documents that a word is commonest in, cut into bands of frequency; all words
+p(word | context) = p(class | context) p(word | class, context). The class softmax sums weights of
+hashed features: the word before (bigram), the two before (trigram), the words two and three back
+(skips), and the last three classes. The words of a class are the leaves of a binary tree, split at
+half their smoothed counts; each step is a logistic choice by the hashed bigram, trigram and skip
+features, from the counts' ratio as its start. Rare steps (RICH, OFTEN) go by the ratio alone. Classes are clusters of the documents that a word is commonest in, cut into bands of frequency; all words
 beyond the lexicon share one class, and so does the unknown word. Training: exact counts of all
 training documents set the start, then each training document gives its gradient once, in
 rounds of synchronous distributed updates."""
@@ -30,6 +31,9 @@ CLASSES = CLUSTERS * (len(BANDS) + 1) + 1
 TAIL = CLASSES - 1
 BUCKETS, KINDS = 1 << 14, 4
 ROWS = KINDS * BUCKETS + CLASSES**3
+#: Weights of (feature, tree node); the features' numbers; a node with weights is passed by a word of
+#: training 100 times at least and once in 2^13 tokens; the step of its weights in a round.
+TREE, TREE_FEATURES, RICH, OFTEN, TREE_STEP = 1 << 19, (0, 1, 3), 100, 1 << 13, 0.6
 ROUNDS, STEP, START, PRIOR = 2, 0.35, 0.45, 20.0
 SEED_DOCS, FLUSH, CHUNK, BLOCKS, PREFIX = 2000, 1 << 22, 1 << 17, 16, 21
 U = np.uint64
@@ -222,12 +226,72 @@ class Lexicon:
         self.base_below = self.n + SMOOTH * (self.v + 1)
         self.within = np.log10((self.count + SMOOTH) / self.below[klass]) if len(klass) else np.zeros(0)
         self.base = np.log10((self.count + SMOOTH) / self.base_below) if len(klass) else np.zeros(0)
+        self.grow()
         #: By id; the ids after the words are one for any other word and one for before the text.
         self.tail_id, self.start_id = len(self.keys), len(self.keys) + 1
         self.class_of = np.concatenate([klass, [TAIL, TAIL]]).astype(np.int64)
         h = mixed(np.concatenate([self.keys, np.array([16, 24], np.uint64)]))
         self.slots = [((h >> U(7 + 14 * i)) % U(BUCKETS)).astype(np.uint16) for i in range(3)]
 
+    def grow(self) -> None:
+        """The classes' trees. By node: up (parent, -1 at a class's top), right (whether it is its
+        parent's right child) and odds (log of right to left counts); by word: leaf, on_right and
+        rest, the log10 of its share below its leaf node. Tail and start have no node."""
+        n = len(self.keys)
+        self.leaf, self.on_right, self.rest = np.full(n + 2, -1, np.int32), np.zeros(n + 2, bool), np.zeros(n + 2)
+        if not n:
+            self.up, self.right, self.odds = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.float32)
+            return
+        order = np.lexsort((-self.count, self.klass))
+        mass, klass = self.count[order] + SMOOTH, self.klass[order].astype(np.int64)
+        upto = np.concatenate([[0.0], np.cumsum(mass)])
+        top = np.searchsorted(klass, np.arange(CLASSES + 1))
+        whole = np.maximum(upto[top[1:]] - upto[top[:-1]], SMOOTH)[klass]
+        middle = (upto[:-1] + mass / 2 - upto[top[:-1]][klass]) / whole
+        code = (middle * 2.0**52).astype(np.int64)
+        apart = (code[1:] ^ code[:-1]).tolist()
+        cross = (klass[1:] != klass[:-1]).tolist()
+        up = np.full(max(n - 1, 0), -1, np.int64)
+        low, high = up.copy(), np.full(len(up), n, np.int64)
+        stack: list[int] = []
+        for i, (x, new) in enumerate(zip(apart, cross, strict=True)):
+            if new:
+                high[stack] = i
+                stack = []
+                low[i] = high[i] = i
+                continue
+            last = -1
+            while stack and apart[stack[-1]] < x:
+                last = stack.pop()
+                high[last] = i
+                if stack and apart[stack[-1]] < x:
+                    up[last] = stack[-1]
+                else:
+                    up[last] = i
+            low[i] = stack[-1] if stack else -1
+            if stack:
+                up[i] = stack[-1]
+            stack.append(i)
+        gap = np.flatnonzero(~np.array(cross, bool))
+        first = np.maximum(np.where(low < 0, 0, low + 1), top[:-1][klass[:-1]])
+        end = np.minimum(high + 1, top[1:][klass[:-1]])
+        left, right = np.ones(len(up)), np.ones(len(up))
+        left[gap], right[gap] = upto[gap + 1] - upto[first[gap]], upto[end[gap]] - upto[gap + 1]
+        rich = np.zeros(len(up), bool)
+        rich[gap] = left[gap] + right[gap] >= max(RICH, self.n / OFTEN)
+        self.up, self.right = up.astype(np.int32), up < np.arange(len(up))
+        self.odds = np.log(right / left).astype(np.float32)
+        inf = 1 << 62
+        key = np.concatenate([[inf], np.where(cross, inf, apart), [inf]]).astype(np.int64)
+        node = np.where(key[:-1] < key[1:], np.arange(n) - 1, np.arange(n))
+        node[(key[:-1] == inf) & (key[1:] == inf)] = -1
+        under, on_right = mass.copy(), node < np.arange(n)
+        while len(at := np.flatnonzero((node >= 0) & ~np.append(rich, True)[node])):
+            under[at] = left[node[at]] + right[node[at]]
+            on_right[at], node[at] = self.right[node[at]], self.up[node[at]]
+        under = np.where(node < 0, whole, under)
+        self.leaf[order], self.on_right[order], self.rest[order] = node, on_right, np.log10(mass / under)
+
     def ids(self, keys: np.ndarray) -> np.ndarray:
         """Word ids; tail_id for words that aren't in the lexicon."""
         p = (keys >> U(64 - PREFIX)).astype(np.int64)
@@ -268,12 +332,53 @@ class Sequence:
         return [x, BUCKETS + y, 2 * BUCKETS + z, 3 * BUCKETS + pair, KINDS * BUCKETS + last]
 
 
+def steps(s: Sequence, a: int, b: int, features: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Steps up the trees from the words of positions a to b: (positions less a, nodes, whether the
+    word is on the right, weights' numbers by feature)."""
+    lex = s.lexicon
+    node, on_right = lex.leaf[s.ids[a:b]], lex.on_right[s.ids[a:b]]
+    at = np.flatnonzero(node >= 0)
+    node, on_right = node[at], on_right[at]
+    mixes = [(features[f].astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15) for f in TREE_FEATURES]
+    while len(at):
+        turn = node.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F)
+        slots = [(((m[at] ^ turn) * U(0xD6E8FEB86659FD93)) >> U(45)).astype(np.int64) for m in mixes]
+        yield at, node, on_right, slots
+        on_right, node = lex.right[node], lex.up[node]
+        more = node >= 0
+        at, node, on_right = at[more], node[more], on_right[more]
+
+
 class Model:
-    """Weights of the class softmax."""
+    """Weights of the class softmax and of the steps in the classes' trees."""
 
     def __init__(self, lexicon: Lexicon):
         self.bias = np.log(lexicon.prior).astype(np.float32)
         self.w = np.zeros((ROWS, CLASSES), np.float32)
+        self.tree = np.zeros(TREE, np.float32)
+
+    def right_odds(self, node: np.ndarray, slots: list[np.ndarray], lexicon: Lexicon) -> np.ndarray:
+        z = lexicon.odds[node]
+        for k in slots:
+            z += self.tree[k]
+        return z
+
+    def log_within(self, s: Sequence, a: int, b: int, features: list[np.ndarray]) -> np.ndarray:
+        """Log (base e) shares of words a to b within their classes, less `rest`."""
+        out = np.zeros(b - a)
+        for at, node, on_right, slots in steps(s, a, b, features):
+            z = self.right_odds(node, slots, s.lexicon)
+            out[at] -= np.log1p(np.exp(np.where(on_right, -z, z)))
+        return out
+
+    def add_tree(self, s: Sequence, a: int, b: int, features: list[np.ndarray], g: np.ndarray, spread: np.ndarray) -> None:
+        """Add the gradient of the trees' weights, and its spread."""
+        for _, node, on_right, slots in steps(s, a, b, features):
+            q = 1 / (1 + np.exp(-self.right_odds(node, slots, s.lexicon)))
+            off, wide = (on_right - q).astype(np.float64), (q * (1 - q)).astype(np.float64)
+            for k in slots:
+                np.add.at(g, k, off)
+                np.add.at(spread, k, wide)
 
     def log_shares(self, features: list[np.ndarray]) -> np.ndarray:
         z = self.w[features[0]]
@@ -287,12 +392,16 @@ class Model:
     def started(self, seen: np.ndarray) -> Model:
         """Weights from counts of (feature, class): tempered log ratios to the classes' shares."""
         p = np.exp(self.bias.astype(np.float64))
+        seen = seen.reshape(ROWS, CLASSES)
         n = seen.sum(1, keepdims=True)
         self.w = (START * (np.log((seen + PRIOR * p) / (n + PRIOR)) - np.log(p))).astype(np.float32)
         self.spread = np.maximum(n * p * (1 - p), 0).astype(np.float32)
         return self
 
-    def stepped(self, gradient: np.ndarray) -> Model:
+    def stepped(self, total: np.ndarray) -> Model:
+        gradient, g, spread = np.split(total, [ROWS * CLASSES, ROWS * CLASSES + TREE])
+        gradient = gradient.reshape(ROWS, CLASSES)
+        self.tree += np.clip(TREE_STEP * g / (spread + PRIOR / 4), -2, 2).astype(np.float32)
         self.w += np.clip(STEP * gradient / (self.spread / ROUNDS + PRIOR / 4), -1, 1).astype(np.float32)
         return self
 
@@ -307,19 +416,20 @@ def over(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[Sequen
             yield Sequence(w, lexicon)
 
 
-def pass_over(docs: DataFrame, lexicon, add: Callable[[Sequence, np.ndarray], None]) -> np.ndarray:
-    """Sum over all docs of what add() adds to a table of the weights' shape."""
+def pass_over(docs: DataFrame, lexicon, size: int, add: Callable[[Sequence, np.ndarray], None]) -> np.ndarray:
+    """Sum over all docs of what add() adds to a table of `size` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * CLASSES, np.float64)
+        total = np.zeros(size, np.float64)
         for s in over(batches, lexicon.value):
             add(s, total)
         if total.any():
             yield blocked(total, "f4")
 
-    parts = totals(docs.mapInArrow(run, "block int, data binary"), BLOCKS, "f4")
-    shape = np.array_split(np.empty(ROWS * CLASSES, np.int8), BLOCKS)
-    return np.concatenate([np.zeros(len(q)) if p is None else p for p, q in zip(parts, shape, strict=True)]).reshape(ROWS, CLASSES)
+    few = docs.coalesce(n_parts(docs, 16 << 20))  # each task hands on a whole table
+    parts = totals(few.mapInArrow(run, "block int, data binary"), BLOCKS, "f4")
+    shape = np.array_split(np.empty(size, np.int8), BLOCKS)
+    return np.concatenate([np.zeros(len(q)) if p is None else p for p, q in zip(parts, shape, strict=True)])
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> Model:
@@ -336,14 +446,15 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                 got = np.bincount(f * CLASSES + own[a:b] - low)
                 total[low : low + len(got)] += got
 
-    model = Model(lexicon).started(pass_over(docs, lex, count))
+    model = Model(lexicon).started(pass_over(docs, lex, ROWS * CLASSES, count))
     for k in range(ROUNDS):
         now = context.broadcast(model)
 
         def gradient(s: Sequence, total: np.ndarray, now=now) -> None:
-            own, out = s.lexicon.class_of[s.ids], total.reshape(ROWS, CLASSES)
+            own, out = s.lexicon.class_of[s.ids], total[: ROWS * CLASSES].reshape(ROWS, CLASSES)
             for a, b in chunks(s):
                 features = s.features(a, b)
+                now.value.add_tree(s, a, b, features, *np.split(total[ROWS * CLASSES :], 2))
                 off = -np.exp(now.value.log_shares(features))
                 off[np.arange(b - a), own[a:b]] += 1
                 for f in features:
@@ -354,7 +465,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                     out[g[first]] += np.add.reduceat(off[order], first, axis=0)
 
         turn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
-        model = model.stepped(pass_over(turn, lex, gradient))
+        model = model.stepped(pass_over(turn, lex, ROWS * CLASSES + 2 * TREE, gradient))
     return model
 
 
@@ -367,14 +478,15 @@ def scored(docs: DataFrame, lexicon: Lexicon, model: Model, counts: DataFrame, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, lexicon = TaskContext.get().partitionId() << 36, lex.value
-        within, base = np.append(lexicon.within, 0.0), np.append(lexicon.base, 0.0)
+        base = np.append(lexicon.base, 0.0)
         for batch in batches:
             for i, j, w in words_of(batch.column("text")):
                 s, n = Sequence(w, lexicon), j - i
-                score, own = within[s.ids], lexicon.class_of[s.ids]
+                score, own = lexicon.rest[s.ids], lexicon.class_of[s.ids]
                 for a, b in chunks(s):
-                    z = net.value.log_shares(s.features(a, b))
-                    score[a:b] += z[np.arange(b - a), own[a:b]] / np.log(10)
+                    features = s.features(a, b)
+                    z = net.value.log_shares(features)[np.arange(b - a), own[a:b]]
+                    score[a:b] += (z + net.value.log_within(s, a, b, features)) / np.log(10)
                 known = s.ids < lexicon.tail_id
                 rows = pa.array(np.arange(uid, uid + n))
                 sums = [np.bincount(s.doc, x, minlength=n) for x in (base[s.ids], score)]
