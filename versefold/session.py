@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,17 +37,22 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only
-    where the setting is absent, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a session on one
+    machine (a local master, as in tests) gets a temporary one where the setting is absent: on a
+    cluster each executor would write to its own disk, so there the setting is needed."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         at = tempfile.mkdtemp(prefix="versefold-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: its lineage ends there."""
+    """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost
+    executor costs no recomputation and later passes see the very same rows."""
     path = f"{shared_dir(df.sparkSession)}/work-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
