@@ -484,11 +484,16 @@ def test_mixing_caps(spark):
 # --- 8 Jaccard join
 
 
-def plain_groups(rows):
-    sets = []
-    for _, t in rows:
+def plain_sets(texts):
+    out = []
+    for t in texts:
         q = (t or "").encode().lower().split()
-        sets.append(frozenset(tuple(q[k : k + 5]) for k in range(len(q) - 4)) if len(q) >= 5 else frozenset([tuple(q)]) if q else frozenset())
+        out.append(frozenset(tuple(q[k : k + 5]) for k in range(len(q) - 4)) if len(q) >= 5 else frozenset([tuple(q)]) if q else frozenset())
+    return out
+
+
+def plain_groups(rows):
+    sets = plain_sets([t for _, t in rows])
     root = list(range(len(rows)))
 
     def find(x):
@@ -542,6 +547,48 @@ def test_jaccard_sf(spark, sf, texts):
     assert got == plain_groups(list(texts.items()))
 
 
+def plain_links(rows):
+    """(doc_id, shingles, smallest doc_id with the same set, other sets that link)."""
+    sets = plain_sets([t for _, t in rows])
+    distinct = {s for s in sets if s}
+    links = {s: sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in distinct) for s in distinct}
+    least = {s: min((i for (i, _), o in zip(rows, sets, strict=True) if o == s and i is not None), default=None) for s in distinct}
+    return Counter((i, len(s), least.get(s, i), links.get(s, 0)) for (i, _), s in zip(rows, sets, strict=True))
+
+
+@pytest.mark.parametrize("partners", [256, 7])
+def test_jaccard_links(spark, monkeypatch, partners):
+    """All links are counted, also when a group is dealt into several blocks."""
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
+    rows = near_copies(5, 4, 30, 5)
+    rows += [(1000 + i, rows[i][1], "en", "a", 1) for i in range(9)] + ODD
+    got = Counter(map(tuple, jaccard.link_counts(frame(spark, rows)).collect()))
+    assert got == plain_links([r[:2] for r in rows])
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """Lists that no longer shrink are compared in blocks, and lose no link."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "PARTNERS", 16)
+    links, blocks, used = jaccard.all_links, jaccard.in_blocks, []
+    monkeypatch.setattr(jaccard, "all_links", lambda *a: links(*a[:-1], 0))
+    monkeypatch.setattr(jaccard, "LEVELS", 0)
+    monkeypatch.setattr(jaccard, "in_blocks", lambda *a: used.append(1) or blocks(*a))
+    rows = near_copies(6, 3, 40, 5)
+    assert Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect())) == plain_groups([r[:2] for r in rows]) and used
+
+
+def test_pairs_in_bounded_chunks(monkeypatch):
+    rng = np.random.default_rng(3)
+    size = rng.integers(2, 9, 60)
+    first = np.cumsum(size) - size
+    s = np.concatenate([np.sort(rng.choice(30, k, replace=False)) for k in size]).astype(np.uint64)
+    n, weight = 10 + (s % 3).astype(np.int64), rng.integers(1, 4, 60)
+    whole = [x.tolist() for x in jaccard.pairs_of(s, n, first, size, weight)]
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 20)
+    assert [x.tolist() for x in jaccard.pairs_of(s, n, first, size, weight)] == whole
+
+
 @pytest.mark.parametrize("rows", [ODD, EMPTY])
 def test_jaccard_odd(spark, rows):
     got = Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect()))
@@ -549,6 +596,16 @@ def test_jaccard_odd(spark, rows):
     assert got == want
     kept = jaccard.one_each(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
+    texts = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert texts == Counter({r[:2]: 1 for r in rows})  # none of them is near another but the repeated row
+
+
+def test_one_each_by_row(spark):
+    """Shared, repeated and null ids: a text stays once, whatever the ids of its copies."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey")
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (9, None), (9, None), (7, b)]
+    kept = jaccard.one_each(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (7, b), (None, c), (9, None), (9, None)])
 
 
 def test_t_occurrence():
@@ -585,6 +642,21 @@ def test_machine_is_exact():
     assert raw == pytest.approx(0.3 + float(m.w[idx] @ val) + pairs, abs=1e-4)
 
 
+def test_accepted_by_row(spark, sf, docs):
+    """One row decides for itself alone, whatever ids it shares."""
+    machine = quality.train(docs, table(spark, sf, "labels"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").limit(60).collect()
+    score = {r.doc_id: r.score for r in quality.scores(docs, machine).collect()}
+    same = [((None, 1, 2)[k % 3], *r[1:]) for k, r in enumerate(rows)]
+    kept = quality.accepted(frame(spark, same), machine)
+    want = Counter(x[:2] for x, r in zip(same, rows) if score[r.doc_id] >= 0.5)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want and 0 < sum(want.values()) < 60
+    for rows in (ODD, EMPTY):
+        some = frame(spark, rows)
+        out = quality.accepted(some, machine, 0.0)
+        assert out.columns == some.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, some.collect()))
+
+
 def test_quality_odd(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     for rows in (ODD, EMPTY):
