@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -180,7 +181,7 @@ def test_decontamination(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(4000)]
     pick = lambda n: rng.choices(words, k=n)
-    items = [(i, " ".join(pick(rng.randint(16, 50)))) for i in range(12)] + [(90, None), (91, "too short to look for")]
+    items = [(i, " ".join(pick(rng.randint(16, 50)))) for i in range(12)] + [(90, None), (91, "not in any of them")]
     rows, want = [], set()
     for d in range(60):
         t = pick(rng.randint(0, 300))
@@ -210,15 +211,21 @@ def test_decontamination_blocks(spark, sf, monkeypatch):
 
 
 def plain_overlap(text, item):
-    """Whether any span of any diagonal has 80 % equal tokens, 13 of them or 80 % of the item."""
-    need = min(13, -(-len(item) * 4 // 5))
+    """Whether the longest spans with 80 % equal tokens of all diagonals, of 8 equal ones or enough,
+    cover 13 tokens or 80 % of the item; short items stand there word for word."""
+    if len(item) < 8:
+        return bool(item) and any(text[k : k + len(item)] == item for k in range(len(text)))
+    need, of_item, of_text = min(13, -(-len(item) * 4 // 5)), set(), set()
     for d in range(-len(item) + 1, len(text)):
         at = range(max(0, -d), min(len(item), len(text) - d))
         sums = [0, *itertools.accumulate(text[k + d] == item[k] for k in at)]
-        for i, j in itertools.combinations(range(len(sums)), 2):
-            if sums[j] - sums[i] >= need and 5 * (sums[j] - sums[i]) >= 4 * (j - i):
-                return True
-    return False
+        spans = [(j - i, -i) for i, j in itertools.combinations(range(len(sums)), 2) if 5 * (sums[j] - sums[i]) >= 4 * (j - i)]
+        n, i = max(spans, default=(0, 0))
+        if sums[n - i] - sums[-i] >= min(8, need):
+            on = [k for k in at[-i : n - i] if text[k + d] == item[k]]
+            of_item.update(on)
+            of_text.update(k + d for k in on)
+    return min(len(of_item), len(of_text)) >= need
 
 
 def test_decontamination_substitutions(spark):
@@ -240,6 +247,34 @@ def test_decontamination_substitutions(spark):
     assert all(5 * r.n_matched >= 4 * (r.last_token - r.first_token) for r in got)
 
 
+@pytest.mark.parametrize("longest", [12, 40])
+def test_decontamination_plain(spark, longest, monkeypatch):
+    """Few different tokens, short items and long repeats against the plain matcher."""
+    rng = random.Random(longest)
+    monkeypatch.setattr(decontamination, "PAIRS", 500)
+    items = [[rng.choice("abc") for _ in range(rng.randint(1, longest))] for _ in range(25)] + [["a"] * 30, ["a", "b"] * 9]
+    rows = []
+    for d in range(50):
+        t = [rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 60))]
+        at = rng.randint(0, len(t))
+        t[at:at] = rng.choice([[], ["a"] * 150, ["a", "b"] * 80, ["a", "b", "c"] * 60, rng.choice(items)])
+        rows.append((rng.choice([d, None]), " ".join(t), "en", "a", d))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    some = frame(spark, rows)
+    want = Counter((i, k) for i, t, *_ in rows for k, x in enumerate(items) if plain_overlap(t.split(), x))
+    assert Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(some, bench).collect()) == want
+    kept = Counter((r.doc_id, r.text) for r in decontamination.clean(some, bench).collect())
+    assert kept == Counter((i, t) for i, t, *_ in rows if not any(len(x) >= 5 and plain_overlap(t.split(), x) for x in items))
+
+
+def test_decontamination_of_one_token_over_and_over(spark):
+    raw = np.frombuffer(b"a " * 30_000, np.uint8)
+    w = textscan.Words(raw, np.array([0, len(raw)]))
+    start = time.monotonic()
+    found = decontamination.overlaps([7], w, decontamination.Index([(1, "a " * 200)]))
+    assert found == [(0, 7, 1, 200, 200, 0, 30_000)] and time.monotonic() - start < 3
+
+
 def test_decontamination_masks_miss_nothing():
     """The most matches of a sequence without a hit, by its last bits, stay below 80 %."""
     bits = max(map(len, decontamination.MASKS)) - 1
