@@ -3,6 +3,7 @@ empty tables and extra columns."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -502,17 +503,73 @@ def test_mixing(spark, sf, texts, docs):
     assert sum(abs(taken[s] - want[s]) < 0.05 * want[s] + 5 for s in want) >= 0.8 * len(want)
 
 
+def sizes_of(spark, rows, machine=None):
+    return mixing.measured(mixing.numbered(frame(spark, rows)), machine or quality.Machine())
+
+
+def plain_mix(rows):
+    """Rows (row, doc_id, source, size, tie, weight, u): how often each is taken, by the letter."""
+    times = {}
+    sums = {}
+    for r in rows:
+        sums[r.source] = sums.get(r.source, 0) + r.size
+    target = plain_targets(sums) if sum(sums.values()) else {s: 0 for s in sums}
+    for s in sums:
+        own = sorted((r for r in rows if r.source == s), key=lambda r: (-math.log(r.u) / r.weight, r.doc_id is not None, r.doc_id, r.tie, r.size, r.row))
+        epochs = int(target[s] / sums[s] + 1e-9) if sums[s] else 0
+        budget, upto, drawn = target[s] - epochs * sums[s], 0, set()
+        for r in own:
+            upto += r.size
+            if upto <= budget:
+                drawn.add(r.row)
+        for _ in range(2):
+            gap = budget - sum(r.size for r in own if r.row in drawn)
+            near = [r for r in own if r.row not in drawn and r.size and abs(gap - r.size) < abs(gap)]
+            if near:
+                drawn.add(min(near, key=lambda r: (abs(gap - r.size), r.doc_id is not None, r.doc_id, r.tie, r.row)).row)
+        times |= {r.row: epochs + (r.row in drawn) for r in own}
+    return times
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_draw(spark, sf, docs, seed):
+    """Weights, order of the draw and closing picks against the plain form, with repeated rows."""
+    rng = random.Random(seed)
+    machine = quality.train(docs, table(spark, sf, "labels"))
+    rows = [(rng.choice([k, k, None]), "w " * rng.randint(0, 30) + rng.choice(["", "and more", "%%% ###"]), "en", rng.choice("aaaaabbbc") if k % 9 else None, k) for k in range(150)]
+    rows += [(7, "x " * 100, "en", s, 1) for s in "ab" for _ in range(40)]
+    made = sizes_of(spark, rows, machine)
+    u = (F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "tie"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    plain = plain_mix(made.withColumn("u", u).collect())
+    assert {r.row: r.times for r in mixing.mix(made).collect()} == plain and len(plain) == len(rows)
+    assert len({r.weight for r in made.collect()}) > 20
+
+
+def test_mixing_repeated_rows(spark):
+    """Equal rows are drawn one by one, so the source's taken words come near its target."""
+    rows = [(1, "w " * 100, "en", "a", 1)] * 40 + [(k, "w " * 100, "en", "b", 1) for k in range(60)]
+    got = mixing.mix(sizes_of(spark, rows)).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    for r in got:
+        assert abs(taken[r.source] - r.target) <= 100
+    out = mixing.mixed_documents(frame(spark, rows), quality.Machine())
+    assert Counter(r.source for r in out.collect()) == {s: n // 100 for s, n in taken.items()}
+
+
 def test_mixing_caps(spark):
     rows = [(i, "w " * 10, "en", s, 1) for i, s in enumerate("a" * 2 + "b" * 50 + "c" * 40)] + [(900, "x", "en", None, 1), (901, None, "en", "d", None)]
-    got = mixing.mix(stored(mixing.measured(frame(spark, rows)), "t")).collect()
+    got = mixing.mix(sizes_of(spark, rows)).collect()
     want = plain_targets({"a": 20, "b": 500, "c": 400, None: 1, "d": 0})
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and r.taken <= 3 * r.size
     assert sum(r.taken for r in got if r.source == "a") == 60
     for rows in (ODD, EMPTY):
-        out = mixing.mixed_documents(frame(spark, rows))
-        assert out.columns == frame(spark, rows).columns
-        plan = mixing.mix(stored(mixing.measured(frame(spark, rows)), "t")).collect()
+        some = frame(spark, rows).withColumn("times", F.lit("x"))
+        out = mixing.mixed_documents(some, quality.Machine())
+        assert out.columns == some.columns
+        plan = mixing.mix(sizes_of(spark, rows)).collect()
         assert len(plan) == len(rows) and out.count() == sum(r.times for r in plan)
 
 
