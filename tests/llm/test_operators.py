@@ -2,6 +2,7 @@
 empty tables and extra columns."""
 
 import hashlib
+import html.parser
 import itertools
 import math
 import random
@@ -467,6 +468,86 @@ def test_wrapper_counts_bounded():
     assert [wrappers.extract(pages[i], labels) for i in (7, 399, 400, 401)] == ["Text 7.\nOwn 7", "Text 399.\nOwn 399", "", "Share that\nText."]
 
 
+def test_wrappers_keep_the_article(spark):
+    """Class words that only mention something set apart, recurring paragraphs, formulas."""
+    say = lambda i: f"<p>Same words.</p><p>Own {i}.</p>"
+    shapes = [
+        lambda i: f"<body class='has-sidebar'><article class='no-sidebar'>{say(i)}</article></body>",
+        lambda i: f"<article>{say(i)}<div class='promo-code-guide'>Guide {i}</div></article>",
+        lambda i: f"<article>{say(i)}<math><mi>x</mi></math><object>Drawing</object></article>",
+        lambda i: f"<main class='page-content with-comments'>{say(i)}<div class='post-comments'>Hi</div><div class='ad-slot-2'>Buy</div><p class='cookie-notice'>ok</p></main>",
+    ]
+    tails = ["", "\nGuide {}", "\nx\nDrawing", ""]
+    rows = [(100 * k + i, f"http://h{k}.example/", shape(i)) for k, shape in enumerate(shapes) for i in range(20)]
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for page, _, _ in rows:
+        assert got[page] == f"Same words.\nOwn {page % 100}." + tails[page // 100].format(page % 100), page
+
+
+def test_wrappers_deep_and_wide(spark):
+    """5,000 elements inside one another, also around and in the article, and thousands in turn."""
+    deep = lambda n: "".join(f"<div>t{k} " for k in range(n))
+    wide = "".join(f"<h2>H{k}</h2><p>P{k}</p><ul><li>L</ul>" for k in range(3000))
+    pages = [
+        (1, "<body>" + deep(5000) + "</div>" * 5000 + "</body>", "\n".join(f"t{k}" for k in range(5000))),
+        (2, "<body><nav>no</nav>" + "<div>" * 5000 + "<article><p>In</p><nav>no</nav>" + "<div>" * 300 + "x<aside>no</aside>y" + "</div>" * 300 + "z</article>out", "In\nx\ny\nz"),
+        (3, f"<article>{wide}</article>", "\n".join(f"H{k}\nP{k}\nL" for k in range(3000))),
+        (4, "<article>" + "</b></x></div>" * 5000 + "a</article>", "a"),
+    ]
+    rows = [(i + 10 * k, f"http://h{i}.example/", page) for i, page, _ in pages for k in range(3)]
+    start = time.monotonic()
+    got = {r.page_id: r.text for r in wrappers.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, want in pages:
+        assert got[i] == got[i + 20] == want, (i, got[i][:200])
+    assert time.monotonic() - start < 60
+
+
+def test_wrapper_groups():
+    """Siblings that come in turn are one repeated group, and align with other numbers of them."""
+    one = lambda n: "<body>" + "".join(f"<h2>a{k}</h2><p>b{k}</p>" for k in range(n)) + "<ul></ul></body>"
+    body = wrappers.infer([one(3), one(40), one(2)])["k"][0]["k"]
+    assert [(x["s"], x["m"], x.get("g")) for x in body] == [("h2", "+", 2), ("p", "+", 2), ("ul", "1", None)]
+
+
+class Plain(html.parser.HTMLParser):
+    """The article's blocks of well-formed pages, without any wrapper."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = False, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in wrappers.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.skip -= tag in ("script", "style")
+        if tag not in wrappers.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_wrappers_of_the_table(spark):
+    """All pages of the table against a plain parser."""
+    sf_dir = "/root/testdata/sf0.01"
+    got = {r.page_id: r.text for r in wrappers.op6(spark, sf_dir).collect()}
+    pages = table(spark, sf_dir, "pages").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == "\n".join(t for b in plain.blocks if (t := " ".join(b.split()))), r.page_id
+
+
 # --- 7 mixing
 
 

@@ -9,10 +9,11 @@ pages of a host take part: tasks align theirs, and partial wrappers are merged a
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
-import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,18 +34,27 @@ PARTS = 256
 #: Partial wrappers that are merged at once, and hosts that a task holds before it hands them on.
 FAN_IN, HELD = 64, 500
 BROADCAST_BYTES = 16 << 20
-DEEP = 1 << 16
+#: Elements inside one another that a page's tree holds; any that tell what a part is (set apart, or
+#: the article) go on to twice as many. Deeper ones only end a block: their texts stay, in order.
+DEEP = 60
+#: Periods of repeated groups of siblings, and length from which a constant is held by its hash.
+GROUPS, LONG_TEXT = (1, 2, 3, 4), 200
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template iframe svg textarea title math object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg textarea title canvas audio video".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 AROUND = frozenset("nav footer aside form button select menu dialog head script style noscript template iframe fieldset input".split())
-#: Words of class, id and role that mark what isn't the article.
+#: Words of class, id and role that mark what isn't the article, and words that say
+#: nothing of it beside them.
 AROUND_WORDS = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navbar navigation menu sidebar aside breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert gdpr popup modal newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget toolbar pagination pager login search form complementary contentinfo topbar".split())
+BESIDE_WORDS = frozenset("article bar block body bottom box button buttons container content entry global group icons inner items left links list main outer page panel post posts primary right secondary section site slot text thread top unit widgets wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section center address details".split())
 MAIN_WORDS = ("articlebody", "main", "article", "post", "entry", "story", "content", "body", "text")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
 _MARK = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PART = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>?", re.I) for t in RAW}
 
 
@@ -58,24 +68,33 @@ class Node:
 
 
 def signature(tag: str, attributes: str) -> str:
-    words = sorted({w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}) if attributes else []
+    """The tag and the words of class, id, role and itemprop, each as its parts joined by "-"."""
+    words = sorted({w for m in _MARK.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split() if (w := "-".join(_PART.findall(x)))}) if attributes else []
     return ".".join([tag, *words])
 
 
 def tree(page: str) -> Node:
     """Block elements and texts of a page. Inline elements are transparent, a line break is
     white space, raw elements and comments are left out; open paragraphs and list items end
-    where HTML lets them; end tags without a start are ignored."""
+    where HTML lets them; end tags without a start are ignored. Elements deeper than DEEP only end
+    a block (a node without a sign)."""
     root = Node("", "")
-    stack, at = [root], 0
+    stack, at = [("", root, 0)], 0
+    opened: Counter[str] = Counter()
 
     def text(said: str) -> None:
-        kids = stack[-1].kids
+        kids = stack[-1][1].kids
         if kids and isinstance(kids[-1], str):
             kids[-1] += said
         elif said.strip():
             kids.append(said)
 
+    def left(k: int) -> None:
+        if stack[k][1] is stack[k - 1][1]:
+            stack[k][1].kids.append(Node("", ""))
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     while (m := _TOKEN.search(page, at)) is not None:
         if m.start() > at:
             text(page[at : m.start()])
@@ -90,52 +109,65 @@ def tree(page: str) -> Node:
             text(" ")
             continue
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                left(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
             stop = _RAW_END[tag].search(page, at)
             at = stop.end() if stop else len(page)
             continue
-        if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1].tag == tag:
-            stack.pop()
-        node = Node(tag, signature(tag, m[3] or ""))
-        stack[-1].kids.append(node)
-        stack.append(node)
+        if tag in CLOSES_P and stack[-1][0] == "p":
+            left(len(stack) - 1)
+        if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == tag:
+            left(len(stack) - 1)
+        node, depth = Node(tag, signature(tag, m[3] or "")), stack[-1][2] + 1
+        if depth > 2 * DEEP or depth > DEEP and main_rank(node.sign) == 99 and not is_around(node.sign, True):
+            node, depth = stack[-1][1], depth - 1
+            node.kids.append(Node("", ""))
+        else:
+            stack[-1][1].kids.append(node)
+        stack.append((tag, node, depth))
+        opened[tag] += 1
     if at < len(page):
         text(page[at:])
     return root
 
 
+def constant(said: str) -> str:
+    """A text as wrappers hold it: itself, or its hash where it is long."""
+    return said if len(said) < LONG_TEXT else hashlib.blake2b(said.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def new_part(node: Node | str) -> dict:
     """A wrapper part: s signature, m multiplicity (1, ? or +), p pages that have it, o times it
-    occurs, k children; for text c the constant or null for a slot, n its whole length, v counts of
-    its constants."""
+    occurs, k children, g the period of a repeated group that it is in; for text c the constant or
+    null for a slot, n its whole length, v counts of its constants."""
     if isinstance(node, str):
-        said = " ".join(html.unescape(node).split())
-        return {"s": "#", "m": "1", "p": 1, "o": 1, "c": said[:400], "n": len(node), "v": {said: 1} if len(said) < 200 else {}}
-    return {"s": node.sign, "m": "1", "p": 1, "o": 1, "k": folded([new_part(k) for k in node.kids])}
+        said = constant(" ".join(html.unescape(node).split()))
+        return {"s": "#", "m": "1", "p": 1, "o": 1, "c": said, "n": len(node), "v": {said: 1}}
+    return {"s": node.sign, "m": "1", "p": 1, "o": 1, "k": folded([new_part(k) for k in node.kids if isinstance(k, str) or k.sign])}
 
 
 def folded(parts: list[dict]) -> list[dict]:
-    """Runs of equal siblings become one repeated part."""
+    """Repeated groups of siblings, of one to four elements in turn, become one group of repeated
+    parts."""
     out: list[dict] = []
     for p in parts:
-        if out and out[-1]["s"] == p["s"] and p["s"] != "#":
-            out[-1] = merged(out[-1], p, True) | {"m": "+"}
-        else:
-            out.append(p)
-    return out
+        out.append(p)
+        for g in GROUPS:
+            tail = out[-2 * g :]
+            if len(tail) == 2 * g and all(a["s"] == b["s"] for a, b in zip(tail, tail[g:], strict=False)) and any(a["s"] != "#" for a in tail):
+                out[-2 * g :] = [merged(a, b, True) | {"m": "+", "g": g} for a, b in zip(tail, tail[g:], strict=False)]
+                break
+    return out[:PARTS] if len(out) > PARTS and all(x["p"] == 1 for x in out) else out
 
 
 def merged(a: dict, b: dict, siblings: bool = False) -> dict:
     """Both parts as one: of different pages, or siblings."""
     m = "+" if "+" in (a["m"], b["m"]) else "?" if "?" in (a["m"], b["m"]) else "1"
     out = {"s": a["s"], "m": m, "p": max(a["p"], b["p"]) if siblings else a["p"] + b["p"], "o": a["o"] + b["o"]}
+    if "g" in a or "g" in b:
+        out["g"] = max(a.get("g", 0), b.get("g", 0))
     if a["s"] == "#":
         return out | {"c": a["c"] if a["c"] == b["c"] else None, "n": a["n"] + b["n"], "v": counted(a["v"], b["v"])}
     return out | {"k": aligned(a["k"], b["k"], siblings)}
@@ -184,9 +216,16 @@ def aligned(a: list[dict], b: list[dict], siblings: bool = False) -> list[dict]:
 
 @functools.lru_cache(1 << 16)
 def is_around(sign: str, inside_main: bool) -> bool:
-    """Whether an element of this signature is set apart from the article."""
+    """Whether an element of this signature is set apart from the article: by its tag, or by a whole
+    word of its class ("ad", "cookie-notice", "post-comments", not "has-sidebar" or
+    "promo-code-guide")."""
     tag, *words = sign.split(".")
-    return tag in AROUND or tag == "header" and not inside_main or any(w in AROUND_WORDS for w in words) or "header" in words and tag != "header" and not inside_main
+    if tag in ("html", "body", "article", "main"):
+        return False
+    if tag in AROUND or tag == "header" and not inside_main:
+        return True
+    told = [{p for p in w.split("-") if p not in BESIDE_WORDS} for w in words]
+    return any(t and t <= AROUND_WORDS or t == {"header"} and not inside_main for t in told)
 
 
 @functools.lru_cache(1 << 16)
@@ -195,16 +234,17 @@ def main_rank(sign: str) -> int:
     tag, *words = sign.split(".")
     if tag == "article":
         return 0
-    if "articlebody" in words:
+    parts = {p for w in words for p in w.split("-")}
+    if {"articlebody", "article-body"} & {*words}:
         return 1
-    if tag == "main" or "main" in words:
+    if tag == "main" or "main" in parts:
         return 2
-    return min((3 + MAIN_WORDS.index(w) for w in words if w in MAIN_WORDS), default=99)
+    return min((3 + MAIN_WORDS.index(p) for p in parts if p in MAIN_WORDS), default=99)
 
 
 def mass(part: dict) -> int:
-    """Length of all text of a part on all pages."""
-    return part["n"] if part["s"] == "#" else sum(map(mass, part["k"]))
+    """Length of a part's slots on all pages: text that differs from page to page."""
+    return (part["n"] if part["c"] is None else 0) if part["s"] == "#" else sum(map(mass, part["k"]))
 
 
 def infer(pages: list[str]) -> dict:
@@ -217,16 +257,19 @@ def varies(part: dict) -> bool:
 
 
 def labelled(whole: dict) -> dict:
-    """What extraction needs of a wrapper, by signature: k children, r the text that an element
-    which may be the article's root has on all pages, x the site's own texts (short ones that are
-    the same on nearly all pages with their root, and on three at least, while others differ)."""
+    """What extraction needs of a wrapper, by signature: k children, r the slots' text that an element
+    which may be the article's root has on all pages, x the site's own texts (the same on nearly all
+    pages with their root, and on three at least, while others differ). In a root that its name
+    marks as the article only text right in a container (div and the like) can be the site's: paragraphs,
+    items, cells and formulas stay, however often they recur."""
 
     def walk(part: dict, root: dict, rank: int, outer: bool) -> dict:
         out: dict = {}
         changes: bool | None = None
+        tag = part["s"].split(".")[0]
         for kid in part["k"]:
             if kid["s"] == "#":
-                if part["o"] > part["p"] / SAME or part["s"].startswith("h") and part["s"] != "html":
+                if part["o"] > part["p"] / SAME or tag in HEADINGS or rank < 99 and tag not in CONTAINERS:
                     continue
                 same = [x for x, n in kid["v"].items() if x and n >= max(3, SAME * root["p"])]
                 if same:
@@ -303,7 +346,7 @@ def extract(page: str, labels: dict) -> str:
 
         for kid in node.kids:
             if isinstance(kid, str):
-                if "x" not in known or " ".join(html.unescape(kid).split()) not in known["x"]:
+                if "x" not in known or constant(" ".join(html.unescape(kid).split())) not in known["x"]:
                     run.append(kid)
                 continue
             flush()
@@ -328,7 +371,6 @@ PARTIAL = "host string, task int, number int, wrapper string"
 
 def align_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, html) to a partial wrapper of each host."""
-    sys.setrecursionlimit(DEEP)
     task, number = TaskContext.get().partitionId(), 0
     held: dict[str, dict] = {}
 
@@ -349,7 +391,6 @@ def align_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_partials(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    sys.setrecursionlimit(DEEP)
     rows = sorted(zip(*(t.column(c).to_pylist() for c in ("task", "number", "wrapper")), strict=True), key=lambda r: r[:2])
     whole = functools.reduce(merged, (json.loads(r[2]) for r in rows))
     return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "task": pa.array([rows[0][0]], pa.int32()), "number": pa.array([rows[0][1]], pa.int32()), "wrapper": [json.dumps(whole)]})
@@ -375,7 +416,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page. Null and empty pages give an empty text; null urls are
-    a host of their own; equal rows give equal texts; an empty table gives no rows.
+    a host of their own; equal rows give equal texts; an empty table gives no rows. Very long or
+    deep pages are read whole (see DEEP). Extra columns aren't looked at.
 
     Wrappers are broadcast only if their measured size is small; else they are joined by host."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
@@ -388,7 +430,6 @@ def extracted(pages: DataFrame) -> DataFrame:
         given, of = pages.join(made, "host", "left"), lambda _, wrapper: wrapper
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(DEEP)
         parsed: dict[str, dict] = {}
         for b in batches:
             texts = []
