@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ ROWS = KINDS * BUCKETS + CLASSES**3
 #: training 100 times at least and once in 2^13 tokens; the step of its weights in a round.
 TREE, TREE_FEATURES, RICH, OFTEN, TREE_STEP = 1 << 19, (0, 1, 3), 100, 1 << 13, 0.6
 ROUNDS, STEP, START, PRIOR = 2, 0.35, 0.45, 20.0
-SEED_DOCS, FLUSH, CHUNK, BLOCKS, PREFIX = 2000, 1 << 22, 1 << 17, 16, 21
+SEED_DOCS, FLUSH, CHUNK, SLICE, BLOCKS, PREFIX = 2000, 1 << 22, 1 << 16, 1 << 20, 64, 21
 U = np.uint64
 #: Word keys are the upper 61 bits of word hashes; the end of a text has this one.
 END, KEY = U(8), U((1 << 64) - 8)
@@ -46,29 +47,41 @@ def train_fold():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS != 0
 
 
-def totals(rows: DataFrame, blocks: int, dtype: str) -> list[np.ndarray | None]:
-    """Sums of packed arrays by block. Tasks add up what they are sent as it comes, so memory is
-    that of the blocks, however many tasks sent some."""
+SUMS = "block int, n int, at binary, data binary"
+
+
+def totals(rows: DataFrame, blocks: int, size: int) -> np.ndarray:
+    """Sum of tables of `size` numbers that came in blocks. Tasks add up what they are sent as it
+    comes, so memory is that of the blocks, however many tasks sent some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, x in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                one = np.frombuffer(x, dtype).astype(np.float64)
-                sums[b] = sums[b] + one if b in sums else one
+            for b, n, at, x in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "at", "data")), strict=True):
+                one, table_ = np.frombuffer(x, np.float32), sums.setdefault(b, np.zeros(n))
+                if at is None:
+                    table_ += one
+                else:
+                    table_[np.frombuffer(at, np.int32)] += one
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
 
-    out: list[np.ndarray | None] = [None] * blocks
-    for r in rows.repartition("block").mapInArrow(run, "block int, data binary").collect():
-        one = np.frombuffer(r["data"], np.float64)
-        out[r["block"]] = one if out[r["block"]] is None else out[r["block"]] + one
-    return out
+    got = {r["block"]: r["data"] for r in rows.repartition("block").mapInArrow(run, "block int, data binary").collect()}
+    parts = np.array_split(np.empty(size, np.int8), blocks)
+    return np.concatenate([np.frombuffer(got[b]) if b in got else np.zeros(len(q)) for b, q in enumerate(parts)])
 
 
-def blocked(total: np.ndarray, dtype: str) -> pa.RecordBatch:
-    parts = np.array_split(total.ravel(), BLOCKS)
-    return pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([p.astype(dtype).tobytes() for p in parts], pa.binary())], names=["block", "data"])
+def blocked(total: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """A table cut into blocks, each with all its numbers or, where most are 0, the others and where
+    they are."""
+    rows = []
+    for b, part in enumerate(np.array_split(total.ravel(), blocks)):
+        at = np.flatnonzero(part).astype(np.int32)
+        few = 3 * len(at) < len(part)
+        if len(at):
+            rows.append((b, len(part), at.tobytes() if few else None, (part[at] if few else part).astype(np.float32).tobytes()))
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["block", "n", "at", "data"])
 
 
 def doc_vectors(w: Words) -> np.ndarray:
@@ -112,10 +125,9 @@ def clustered(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for k in range(CLUSTERS):
                     total[k, :VECTOR] += v[of == k].sum(0)
                     total[k, VECTOR] += batch.column("n").to_numpy()[of == k].sum()
-            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
+            yield blocked(total, 1)
 
-        (got,) = totals(made.mapInArrow(assign, "block int, data binary"), 1, "f8")
-        got = got.reshape(CLUSTERS, VECTOR + 1)
+        got = totals(made.mapInArrow(assign, SUMS), 1, CLUSTERS * (VECTOR + 1)).reshape(CLUSTERS, VECTOR + 1)
         centres, sizes = unit((got[:, :VECTOR] + 1e-3 * centres).astype(np.float32)), got[:, VECTOR] + 1
     return centres, sizes
 
@@ -192,10 +204,11 @@ class Lexicon:
                     level = np.minimum(64 * np.log2(c), 4095).astype(np.int64)
                     out[0] += np.bincount(level, minlength=4096)
                     out[1] += np.bincount(level, c, minlength=4096)
-            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "data"])
+            yield pa.record_batch([pa.array(np.arange(4096, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in out)], names=["level", "words", "tokens"])
 
-        (got,) = totals(counts.mapInArrow(tally, "block int, data binary"), 1, "f8")
-        n_of, c_of = (got if got is not None else np.zeros(8192)).reshape(2, 4096)
+        n_of, c_of = np.zeros(4096), np.zeros(4096)
+        for r in counts.mapInArrow(tally, "level int, words long, tokens long").where("words > 0").groupBy("level").sum("words", "tokens").collect():
+            n_of[r[0]], c_of[r[0]] = r[1], r[2]
         self.v, self.n = int(n_of.sum()), int(c_of.sum())
         above = np.cumsum(n_of[::-1])[::-1]
         least = int(np.argmax(above <= LEXICON))
@@ -307,20 +320,56 @@ class Lexicon:
         return out
 
 
+ENCODED = "uid long, doc_id long, learn boolean, ids binary, unknown binary"
+
+
+def encoded(docs: DataFrame, lexicon) -> DataFrame:
+    """(uid, doc_id, learn, ids, unknown) of each document (doc_id, text, learn): the ids of its words
+    with the end, and the keys of those that aren't in the lexicon. Later passes read these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, uid = lexicon.value, TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for i, j, w in words_of(batch.column("text")):
+                n = j - i
+                at = np.arange(len(w.hash)) + np.repeat(np.arange(n), np.diff(w.of))
+                keys = np.full(len(w.hash) + n, END, np.uint64)
+                keys[at] = w.hash & KEY
+                bounds = w.of + np.arange(n + 1)
+                ids = lex.ids(keys)
+                new = keys[ids == lex.tail_id]
+                of = np.searchsorted(np.flatnonzero(ids == lex.tail_id), bounds)
+                cols = [batch.column(c).slice(i, n) for c in ("doc_id", "learn")]
+                yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *cols, cut(ids.astype(np.int32), bounds), cut(new, of)], names=[x.split()[0] for x in ENCODED.split(", ")])
+                uid += n
+
+    return stored(docs.mapInArrow(run, ENCODED), "ids")
+
+
+def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """An array's bytes as a binary value for each part."""
+    raw, at = values.tobytes(), (bounds * values.itemsize).tolist()
+    return pa.array([raw[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+
+
+def rejoined(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values and bounds that cut() had."""
+    parts = column.to_pylist()
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(parts), dtype), np.concatenate([[0], np.cumsum(size)])
+
+
 class Sequence:
-    """Word ids of texts with their ends, and features of each position's context."""
-
-    def __init__(self, w: Words, lexicon: Lexicon):
-        n = np.diff(w.of)
-        self.size = n + 1
-        ids = np.full(int((self.size + 3).sum()), lexicon.start_id, np.int64)
-        self.at = np.arange(int(self.size.sum())) + np.repeat(3 * (np.arange(len(n)) + 1), self.size)
-        where = np.arange(len(w.hash)) + np.repeat(4 * np.arange(len(n)) + 3, n)
-        self.keys = np.full(len(ids), END, np.uint64)
-        self.keys[where] = w.hash & KEY
-        ids[self.at] = lexicon.ids(self.keys[self.at])
-        self.doc = np.repeat(np.arange(len(n)), self.size)
-        self.keys, self.ids, self.all, self.lexicon = self.keys[self.at], ids[self.at], ids, lexicon
+    """Word ids of texts with their ends (flat, with bounds), and features of each position's
+    context."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray, lexicon: Lexicon):
+        self.size = np.diff(bounds)
+        self.all = np.full(len(ids) + 3 * len(self.size), lexicon.start_id, np.int64)
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.at = np.arange(len(ids)) + 3 * (self.doc + 1)
+        self.all[self.at] = ids
+        self.ids, self.lexicon = self.all[self.at], lexicon
 
     def features(self, a: int, b: int) -> list[np.ndarray]:
         """Rows of the weights for positions a to b."""
@@ -400,7 +449,7 @@ class Model:
 
     def stepped(self, total: np.ndarray) -> Model:
         gradient, g, spread = np.split(total, [ROWS * CLASSES, ROWS * CLASSES + TREE])
-        gradient = gradient.reshape(ROWS, CLASSES)
+        gradient = gradient.reshape(CLASSES, ROWS).T
         self.tree += np.clip(TREE_STEP * g / (spread + PRIOR / 4), -2, 2).astype(np.float32)
         self.w += np.clip(STEP * gradient / (self.spread / ROUNDS + PRIOR / 4), -1, 1).astype(np.float32)
         return self
@@ -410,33 +459,37 @@ def chunks(s: Sequence) -> Iterator[tuple[int, int]]:
     return ((a, min(a + CHUNK, len(s.at))) for a in range(0, len(s.at), CHUNK))
 
 
-def over(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[Sequence]:
+def over(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[pa.RecordBatch, Sequence]]:
+    """(rows, their sequence) of runs of encoded documents of about SLICE ids."""
     for batch in batches:
-        for _, _, w in words_of(batch.column("text")):
-            yield Sequence(w, lexicon)
+        size = pc.binary_length(batch.column("ids")).to_numpy() // 4
+        upto, i = np.cumsum(size), 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + SLICE, "right")))
+            some = batch.slice(i, j - i)
+            yield some, Sequence(*rejoined(some.column("ids"), np.int32), lexicon)
+            i = j
 
 
-def pass_over(docs: DataFrame, lexicon, size: int, add: Callable[[Sequence, np.ndarray], None]) -> np.ndarray:
-    """Sum over all docs of what add() adds to a table of `size` numbers."""
+def pass_over(ids: DataFrame, lexicon, size: int, add: Callable[[Sequence, np.ndarray], None]) -> np.ndarray:
+    """Sum over all encoded documents of what add() adds to a table of `size` numbers. Each task
+    hands on a table, so tasks read 16 MB of ids or more, unless cores would be idle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.float64)
-        for s in over(batches, lexicon.value):
+        for _, s in over(batches, lexicon.value):
             add(s, total)
         if total.any():
-            yield blocked(total, "f4")
+            yield blocked(total, BLOCKS)
 
-    few = docs.coalesce(n_parts(docs, 16 << 20))  # each task hands on a whole table
-    parts = totals(few.mapInArrow(run, "block int, data binary"), BLOCKS, "f4")
-    shape = np.array_split(np.empty(size, np.int8), BLOCKS)
-    return np.concatenate([np.zeros(len(q)) if p is None else p for p, q in zip(parts, shape, strict=True)])
+    few = ids.coalesce(n_parts(ids, 16 << 20, least=ids.sparkSession.sparkContext.defaultParallelism))
+    return totals(few.select("ids").mapInArrow(run, SUMS), BLOCKS, size)
 
 
-def train(docs: DataFrame, lexicon: Lexicon) -> Model:
-    """The model of all docs (doc_id, text): counts, then a gradient update in each round from the
-    documents that are its turn."""
-    context = docs.sparkSession.sparkContext
-    lex = context.broadcast(lexicon)
+def train(ids: DataFrame, lex) -> Model:
+    """The model of all encoded documents that are learnt from: counts, then a gradient update in
+    each round from the documents that are its turn. lex: the broadcast lexicon."""
+    context, learn, lexicon = ids.sparkSession.sparkContext, ids.where("learn"), lex.value
 
     def count(s: Sequence, total: np.ndarray) -> None:
         own = s.lexicon.class_of[s.ids]
@@ -446,76 +499,78 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
                 got = np.bincount(f * CLASSES + own[a:b] - low)
                 total[low : low + len(got)] += got
 
-    model = Model(lexicon).started(pass_over(docs, lex, ROWS * CLASSES, count))
+    model = Model(lexicon).started(pass_over(learn, lex, ROWS * CLASSES, count))
     for k in range(ROUNDS):
         now = context.broadcast(model)
 
         def gradient(s: Sequence, total: np.ndarray, now=now) -> None:
-            own, out = s.lexicon.class_of[s.ids], total[: ROWS * CLASSES].reshape(ROWS, CLASSES)
+            own, out = s.lexicon.class_of[s.ids], total[: ROWS * CLASSES].reshape(CLASSES, ROWS)
             for a, b in chunks(s):
                 features = s.features(a, b)
                 now.value.add_tree(s, a, b, features, *np.split(total[ROWS * CLASSES :], 2))
                 off = -np.exp(now.value.log_shares(features))
                 off[np.arange(b - a), own[a:b]] += 1
+                each = np.ascontiguousarray(off.T, np.float64)
                 for f in features:
                     low = int(f.min())
-                    order = np.argsort((f - low).astype(np.uint16), kind="stable")
-                    g = f[order]
-                    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                    out[g[first]] += np.add.reduceat(off[order], first, axis=0)
+                    f = f - low
+                    for k in range(CLASSES):
+                        got = np.bincount(f, each[k])
+                        out[k, low : low + len(got)] += got
 
-        turn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
+        turn = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
         model = model.stepped(pass_over(turn, lex, ROWS * CLASSES + 2 * TREE, gradient))
     return model
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, model: Model, counts: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row. Words that aren't in the
-    lexicon meet their exact counts in buckets of words."""
-    context = docs.sparkSession.sparkContext
-    lex, net = context.broadcast(lexicon), context.broadcast(model)
+def scored(ids: DataFrame, lex, model: Model, counts: DataFrame, buckets: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each encoded row. Words that aren't in the
+    lexicon meet their exact counts in buckets of words, once for each document that has them."""
+    net, lexicon = ids.sparkSession.sparkContext.broadcast(model), lex.value
     schema = f"uid long, doc_id long, n_tokens long, n_known long, base double, score double, {PACKED}"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, lexicon = TaskContext.get().partitionId() << 36, lex.value
+        lexicon, model = lex.value, net.value
         base = np.append(lexicon.base, 0.0)
-        for batch in batches:
-            for i, j, w in words_of(batch.column("text")):
-                s, n = Sequence(w, lexicon), j - i
-                score, own = lexicon.rest[s.ids], lexicon.class_of[s.ids]
-                for a, b in chunks(s):
-                    features = s.features(a, b)
-                    z = net.value.log_shares(features)[np.arange(b - a), own[a:b]]
-                    score[a:b] += (z + net.value.log_within(s, a, b, features)) / np.log(10)
-                known = s.ids < lexicon.tail_id
-                rows = pa.array(np.arange(uid, uid + n))
-                sums = [np.bincount(s.doc, x, minlength=n) for x in (base[s.ids], score)]
-                left, none = [rows, batch.column("doc_id").slice(i, n), pa.array(s.size.astype(np.int64)), pa.array(np.bincount(s.doc, known, minlength=n).astype(np.int64)), *map(pa.array, sums)], pa.nulls(n)
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.record_batch([*left, none.cast(pa.int32()), none.cast(pa.int32()), *[none.cast(pa.binary())] * 3], names=names)
-                keys, docs_ = s.keys[~known], s.doc[~known].astype(np.int64) + uid
-                if len(keys):
-                    p = packed(bucket_of(keys, buckets), 1, keys, docs_, np.zeros(len(keys), np.uint8))
-                    m = pa.nulls(p.num_rows)
-                    yield pa.record_batch([*[m.cast(pa.int64())] * 4, *[m.cast(pa.float64())] * 2, *p.columns], names=names)
-                uid += n
-
-    out = stored(docs.mapInArrow(run, schema), "scored")
+        for rows, s in over(batches, lexicon):
+            n = rows.num_rows
+            score, own = lexicon.rest[s.ids], lexicon.class_of[s.ids]
+            for a, b in chunks(s):
+                features = s.features(a, b)
+                z = model.log_shares(features)[np.arange(b - a), own[a:b]]
+                score[a:b] += (z + model.log_within(s, a, b, features)) / np.log(10)
+            known = np.bincount(s.doc, s.ids < lexicon.tail_id, minlength=n).astype(np.int64)
+            sums = [np.bincount(s.doc, x, minlength=n) for x in (base[s.ids], score)]
+            left, none = [rows.column("uid"), rows.column("doc_id"), *map(pa.array, (s.size.astype(np.int64), known, *sums))], pa.nulls(n)
+            yield pa.record_batch([*left, none.cast(pa.int32()), none.cast(pa.int32()), *[none.cast(pa.binary())] * 3], names=names)
+            keys, of = rejoined(rows.column("unknown"), np.uint64)
+            if len(keys):
+                uid = np.repeat(rows.column("uid").to_numpy(), np.diff(of))
+                order = np.lexsort((keys, uid))
+                keys, uid = keys[order], uid[order]
+                first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (uid[1:] != uid[:-1])])
+                times = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+                p = packed(bucket_of(keys[first], buckets), 1, keys[first], uid[first], times)
+                m = pa.nulls(p.num_rows)
+                yield pa.record_batch([*[m.cast(pa.int64())] * 4, *[m.cast(pa.float64())] * 2, *p.columns], names=names)
+
+    out = stored(ids.mapInArrow(run, schema), "scored")
     below, base_below = float(lexicon.below[TAIL]), float(lexicon.base_below)
 
     def look_up(_: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_pylist()
         get = lambda c, k, dtype: np.frombuffer(b"".join(x for x, y in zip(t.column(c).to_pylist(), kind, strict=True) if y == k), dtype)
-        words, count, asked, row = get("keys", 0, np.uint64), get("a", 0, np.int64), get("keys", 1, np.uint64), get("a", 1, np.int64)
+        words, count, asked, row, times = get("keys", 0, np.uint64), get("a", 0, np.int64), get("keys", 1, np.uint64), get("a", 1, np.int64), get("b", 1, np.uint32)
         c = np.zeros(len(asked))
         if len(words):
             at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
             c = np.where(words[at] == asked, count[at], 0)
         order = np.argsort(row, kind="stable")
-        c, row = c[order], row[order]
+        c, row, times = c[order], row[order], times[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
         add = lambda x: np.add.reduceat(x, first) if len(row) else np.zeros(0)
-        return pa.table({"uid": pa.array(row[first], pa.int64()), "n_known": pa.array(add((c > 0).astype(np.int64)), pa.int64()), "base": pa.array(add(np.log10((c + SMOOTH) / base_below)), pa.float64()), "score": pa.array(add(np.log10((c + SMOOTH) / below)), pa.float64())})
+        return pa.table({"uid": pa.array(row[first], pa.int64()), "n_known": pa.array(add((c > 0) * times.astype(np.int64)).astype(np.int64)), "base": pa.array(add(times * np.log10((c + SMOOTH) / base_below)), pa.float64()), "score": pa.array(add(times * np.log10((c + SMOOTH) / below)), pa.float64())})
 
     asks = out.where("kind = 1").select("bucket", "kind", "keys", "a", "b").unionByName(counts)
     more = asks.groupBy("bucket").applyInArrow(look_up, "uid long, n_known long, base double, score double")
@@ -528,14 +583,17 @@ def score_documents(docs: DataFrame) -> tuple[DataFrame, int]:
     """Learn from the training fold of docs (doc_id, text) and score all rows; also the number of
     training tokens.
 
-    Null texts count as empty: just the end. Repeated rows count and score each. Without training
-    documents every token has the unknown word's whole share, log10 1 = 0."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = docs.where(train_fold())
+    Null texts count as empty: just the end. Repeated rows count and score each. Very long texts are
+    scored whole, in chunks. Without training documents every token has the unknown word's whole
+    share, log10 1 = 0; an empty table gives no rows. Extra columns aren't looked at."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learn", train_fold())
+    learn = docs.where("learn")
     buckets = n_parts(docs, 12 << 20, least=24)
     counts = word_counts(learn, *clustered(learn), buckets)
     lexicon = Lexicon(counts)
-    return scored(docs, lexicon, train(learn, lexicon), counts, buckets), lexicon.n
+    lex = docs.sparkSession.sparkContext.broadcast(lexicon)
+    ids = encoded(docs, lex)
+    return scored(ids, lex, train(ids, lex), counts, buckets), lexicon.n
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
