@@ -947,6 +947,54 @@ def test_id_store_odd(spark, tmp_path):
     assert id_store.checksums(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_id_store_of_any_vocabulary(spark, tmp_path, name):
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(["Hello  World it's", " lead", "tail \n", "", None, "<|endoftext|>x", "é́ 天地 A.b!C"])]
+    path, tokenizer = str(tmp_path / "store"), Tokenizer.from_file(public_tokenizers.path(name))
+    id_store.write_store(frame(spark, rows), path, public_tokenizers.path(name))
+    got = {r.doc_id: r.ids for r in id_store.read_ids(spark, path).collect()}
+    assert got == {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows}
+    assert id_store.cuts_apart(tokenizer) == (name[0] == "w")
+
+
+def test_id_store_finds_damage(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i % 7}x{k}" for k in range(200)), "en", "a", 1) for i in range(40)]
+    path = str(tmp_path / "store")
+    id_store.write_store(frame(spark, rows), path, public_tokenizers.path("word_bpe_49k.json"))
+    assert id_store.verify(spark, path).count() == 0
+    corpus = spark.read.parquet(path + "/corpus").first()
+    assert (corpus.documents, corpus.n_tokens) == (40, sum(len(r.ids) for r in id_store.read_ids(spark, path).collect()))
+
+    def changed(part, how):
+        old = spark.createDataFrame(spark.read.parquet(f"{path}/{part}").collect(), spark.read.parquet(f"{path}/{part}").schema)
+        how(old).write.mode("overwrite").parquet(f"{path}/{part}")
+        found = {(r.fault or "").split()[0] for r in id_store.verify(spark, path).collect()}
+        old.write.mode("overwrite").parquet(f"{path}/{part}")
+        assert id_store.verify(spark, path).count() == 0
+        return found
+
+    one = F.col("doc_id") == 11
+    swapped = F.expr("concat(substr(digests, 17), substr(digests, 1, 16))")
+    assert changed("recipes", lambda d: d.withColumn("digests", F.when(one, swapped).otherwise(F.col("digests")))) == {"recipe"}
+    assert changed("recipes", lambda d: d.where(~one)) >= {"block"}
+    assert changed("manifest", lambda d: d.where("block <> 0")) >= {"block", "corpus"}
+    assert changed("corpus", lambda d: d.withColumn("n_tokens", F.col("n_tokens") + 1)) == {"corpus"}
+    coded = spark.read.parquet(path + "/coded/kind=1")
+    kept = spark.createDataFrame(coded.collect()[1:], coded.schema)
+    kept.write.mode("overwrite").parquet(path + "/coded/kind=1")
+    with pytest.raises(Exception, match="no chunk"):
+        id_store.checksums(spark, path).collect()
+
+
+def test_hash_tree():
+    """Leaves one by one give the root of the tree level by level."""
+    for n in range(1, 40):
+        level = [id_store.hashed(b"\0", b"%d" % k) for k in range(n)]
+        while len(level) > 1:
+            level = [id_store.hashed(b"\1", *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert id_store.merkle(b"%d" % k for k in range(n)) == level[0]
+
+
 def test_crc_law():
     rng = np.random.default_rng(6)
     parts = [rng.bytes(n) for n in (0, 1, 3, 4096, 70_000)]

@@ -1,17 +1,20 @@
 """Token ids in a content-addressed store: rolling-hash chunks, recipes, Merkle manifests.
 
-Folder layout: chunks/ (digest, ids: every distinct chunk once, named by the BLAKE2b-128 of its
-bytes), recipes/block=N/ (doc_id, start, n_tokens, digests, root, in ascending doc_id order
-within and across blocks), manifest/ (block, root of the block's documents, number of them)."""
+Folder layout: coded/kind=1/ (name, ids: every distinct chunk once, named by the BLAKE2b-128 of its
+bytes), recipes/ (block, doc_id, start, n_tokens, digests, root: in ascending doc_id order within and
+across blocks; a root is that of the hash tree over the digests), manifest/ (block, number of
+documents and tokens, root of the hash tree over its documents) and corpus/ (one row: width of an id,
+number of documents and tokens, root of the hash tree over the blocks)."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from versefold.llm.common import block_of, cut_points, n_parts, shared_dir, stored, table, with_offsets
+from versefold.llm.common import block_of, cut_points, joined, n_parts, shared_dir, stored, table, with_offsets
 from versefold.llm.textscan import Words, text_slices
 
 END_ID, WINDOW, LEAST, MASK, MOST = 1, 16, 64, 255, 2048
@@ -27,6 +30,8 @@ DIGEST = 16
 #: Words that a Python worker remembers (about 100 bytes each), in a table of 2^SLOT_BITS slots.
 CACHE_WORDS, SLOT_BITS = 1_000_000, 21
 U = np.uint64
+#: The normalizing steps and the pattern of vocabularies whose texts may be cut up.
+APART = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _coders: dict[str, Coder] = {}
 
@@ -34,9 +39,9 @@ _coders: dict[str, Coder] = {}
 class Coder:
     """Ids of texts by the tokenizers library, with a memory of the ids of words.
 
-    Exact: this vocabulary drops white space and case and never merges over the border of ASCII
-    letters and punctuation (apostrophes aside), so a text's ids are those of the runs between,
-    one after another. Each run is encoded by the library, once while it
+    Exact: a vocabulary whose file says so (see cuts_apart) drops white space and case and never
+    merges over the border of ASCII letters and punctuation (apostrophes aside), so a text's ids are
+    those of the runs between, one after another. With any other, texts are encoded whole. Each run is encoded by the library, once while it
     is remembered (by a 64-bit hash; the memory is emptied when full). Texts that hold a special
     token's name, where case does count, are encoded by the library as a whole."""
 
@@ -45,6 +50,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart = cuts_apart(self.tokenizer)
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or rb"(?!)", re.I)
         self.clear()
 
@@ -90,6 +96,8 @@ class Coder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of texts that stand in data."""
+        if not self.apart:
+            return self.whole(data, offsets)
         w = Words(data, offsets, apart=True)
         at = self.find(w.hash)
         new = np.flatnonzero(at < 0)
@@ -99,9 +107,7 @@ class Coder:
                 self.clear()
                 return self.encode(data, offsets)
             if len(h) > CACHE_WORDS:  # a text of very many different words: by the library alone
-                raw = data.tobytes()
-                parts = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-                return np.array(list(chain.from_iterable(parts)), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                return self.whole(data, offsets)
             raw, first = data.tobytes(), new[first]
             self.learn(h, [raw[a:b].decode() for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
             at[new] = self.find(w.hash[new])
@@ -113,6 +119,12 @@ class Coder:
             ids, bounds = self.with_special(data, offsets, ids, bounds)
         return ids, bounds
 
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(parts)), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
     def with_special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, parts = data.tobytes(), []
         for a, b, i, j in zip(offsets.tolist(), offsets[1:].tolist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
@@ -121,6 +133,17 @@ class Coder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
+def cuts_apart(tokenizer) -> bool:
+    """Whether this is a vocabulary that knows no white space, case or words across the border of
+    ASCII letters and punctuation: told by its file's normalizer, splitting pattern and model."""
+    made = json.loads(tokenizer.to_str())
+    normalizer, splitter, model = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    split = (splitter.get("pretokenizers") or [{}])[0]
+    steps = [x.get("type") for x in normalizer.get("normalizers") or []]
+    told = steps, (split.get("pattern") or {}).get("Regex")
+    return told == APART and (split.get("behavior"), split.get("invert")) == ("Removed", True) and model.get("type") == "BPE" and not model.get("dropout")
+
+
 def coder(path: str) -> Coder:
     if path not in _coders:
         _coders[path] = Coder(path)
@@ -138,12 +161,37 @@ def cuts_of(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(((h >> U(20)) & U(MASK)) == 0) + 1
 
 
-def merkle(digests: list[bytes]) -> bytes:
-    """Root of a binary hash tree; an odd node moves up as it is."""
-    level = [hashlib.blake2b(b"\0" + d, digest_size=DIGEST).digest() for d in digests]
-    while len(level) > 1:
-        level = [hashlib.blake2b(b"\1" + level[i] + level[i + 1], digest_size=DIGEST).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+def hashed(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=DIGEST).digest()
+
+
+class Tree:
+    """A binary hash tree over leaves that come one by one; an odd node moves up as it is. It holds
+    one hash for each level."""
+
+    def __init__(self):
+        self.n, self.left = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        node, k = hashed(b"\0", leaf), self.n
+        while k & 1:
+            node, k = hashed(b"\1", self.left.pop(), node), k >> 1
+        self.left.append(node)
+        self.n += 1
+
+    def root(self) -> bytes:
+        """All zeros without leaves."""
+        out = self.left[-1] if self.left else bytes(DIGEST)
+        for node in self.left[-2::-1]:
+            out = hashed(b"\1", node, out)
+        return out
+
+
+def merkle(leaves: Iterable[bytes]) -> bytes:
+    tree = Tree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 ENCODED = "kind int, name binary, doc_id long, block int, n_tokens long, digests binary, root binary, ids binary"
@@ -194,13 +242,15 @@ def encode_docs(path: str, kind: str):
     return run
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 1 << 16) -> None:
-    """Encode all texts (null: empty, so only the end id) and write the store to a new folder.
+def write_store(docs: DataFrame, path: str, tokenizer: str) -> None:
+    """Encode all texts (null: empty, so only the end id) and write the store to a new folder. Any
+    vocabulary file of the library will do; ids take two bytes if all fit.
 
     One shuffle brings equal chunks together, at most one of each from a task, so a text that a
     third of the rows share is no hot key. Rows that share a doc_id keep a recipe each, ordered
-    by root. An empty table gives empty folders."""
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    by root; very long texts are one recipe of many chunks. An empty table gives empty folders.
+    Extra columns aren't looked at."""
+    kind = "<u2" if coder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     cuts = cut_points(docs, "doc_id", n_parts(docs, 16 << 20))
     rows = docs.select("doc_id", block_of(F.col("doc_id"), cuts).alias("block"), "text")
     coded = rows.mapInArrow(encode_docs(tokenizer, kind), ENCODED)
@@ -212,28 +262,76 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 1
     w = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = with_offsets(recipes, [], "block", F.col("n_tokens"), "before").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
     placed = placed.select("block", "doc_id", "start", "n_tokens", "digests", "root")
-    placed.repartition("block").sortWithinPartitions("block", *order).write.partitionBy("block").option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = read_recipes(spark, path).groupBy("block").agg(block_root().alias("root"), F.count(F.lit(1)).alias("documents"))
-    roots.write.parquet(f"{path}/manifest")
+    placed.repartition("block").sortWithinPartitions("block", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    block_roots(read_recipes(spark, path)).where("fault is null").drop("fault").write.parquet(f"{path}/manifest")
+    corpus_root(spark.read.schema(MANIFEST).parquet(f"{path}/manifest"), kind).write.parquet(f"{path}/corpus")
+
 
+MANIFEST = "block int, documents long, n_tokens long, root binary"
 
-def block_root():
-    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", F.hex("root").alias("h")))), lambda x: x["h"]), "").cast("binary"), 256)
+
+def block_roots(recipes: DataFrame) -> DataFrame:
+    """(block, documents, n_tokens, root, fault) of each block, from its recipes in order: hash trees
+    over documents' ids, places and roots. A recipe whose root isn't that of its digests, or which
+    doesn't start where the one before ends, makes a row with a fault."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, tree, tokens, end, rows = None, Tree(), 0, None, []
+        for batch in batches:
+            for b, doc, start, n, digests, root in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "start", "n_tokens", "digests", "root")), strict=True):
+                if b != block:
+                    if block is not None:
+                        rows.append((block, tree.n, tokens, tree.root(), None))
+                    block, tree, tokens, end = b, Tree(), 0, start
+                if start != end or merkle(digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)) != root:
+                    rows.append((b, None, None, None, f"recipe of document {doc} at {start}"))
+                tree.add(b"%d %d %d " % (-1 if doc is None else doc, start, n) + root)
+                tokens, end = tokens + n, start + n
+        if block is not None:
+            rows.append((block, tree.n, tokens, tree.root(), None))
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["block", "documents", "n_tokens", "root", "fault"])
+
+    return recipes.repartition("block").sortWithinPartitions("block", "start").mapInArrow(run, f"{MANIFEST}, fault string")
+
+
+def corpus_root(manifest: DataFrame, kind: str) -> DataFrame:
+    """One row: kind, documents, n_tokens, root of the blocks' hash tree. There are as many blocks as
+    cut points at most (MOST_CUTS and one), so the driver may hold them."""
+    blocks = manifest.orderBy("block").collect()
+    leaf = lambda r: b"%d %d " % (r.documents, r.n_tokens) + bytes(r.root)
+    row = (kind, sum(r.documents for r in blocks), sum(r.n_tokens for r in blocks), bytearray(merkle(map(leaf, blocks))))
+    return manifest.sparkSession.createDataFrame([row], CORPUS)
+
+
+CORPUS = "kind string, documents long, n_tokens long, root binary"
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, start long, n_tokens long, digests binary, root binary, block int").parquet(f"{path}/recipes")
+    return spark.read.schema("block int, doc_id long, start long, n_tokens long, digests binary, root binary").parquet(f"{path}/recipes")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENCODED).parquet(f"{path}/coded").where("kind = 1").select("name", "ids")
 
 
+def id_kind(spark: SparkSession, path: str) -> str:
+    return spark.read.schema(CORPUS).parquet(f"{path}/corpus").first()["kind"]
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks whose documents' roots aren't those of the manifest (none, if all is well)."""
-    now = read_recipes(spark, path).groupBy("block").agg(block_root().alias("found"), F.count(F.lit(1)).alias("n"))
-    want = spark.read.schema("block int, root string, documents long").parquet(f"{path}/manifest")
-    return want.join(now, "block", "full").where("not (root <=> found and documents <=> n)")
+    """(block, fault) of all that differs from the manifests (none, if all is well): recipes whose
+    root isn't that of their digests or which leave a gap, blocks whose root or numbers aren't the
+    manifest's, and the corpus (no block) where its root isn't that of the manifest. Chunks are held
+    against their names where they are read, by checksums and read_ids."""
+    found = stored(block_roots(read_recipes(spark, path)), "roots")
+    want = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    facts = lambda df, name: df.select("block", F.struct("documents", "n_tokens", "root").alias(name))
+    both = facts(want, "want").join(facts(found.where("fault is null"), "found"), "block", "full")
+    blocks = both.where("not (want <=> found)").select("block", F.lit("block").alias("fault"))
+    corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus")
+    whole = corpus.exceptAll(corpus_root(want, id_kind(spark, path))).select(F.lit(None).cast("int").alias("block"), F.lit("corpus").alias("fault"))
+    return found.where("fault is not null").select("block", "fault").unionByName(blocks).unionByName(whole)
 
 
 _TABLES: list[np.ndarray] = []
@@ -293,28 +391,33 @@ def add_moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("root"), batch.column("n"), pa.array(moved_crc(crc, 4 * after).astype(np.int64))], names=["root", "n", "part"])
 
 
-def checksums(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
+def referred(recipes: DataFrame, chunks: DataFrame, *keep: str) -> DataFrame:
+    """Rows of the recipes' chunks (keep, at, and the chunks' columns); a chunk that isn't there
+    fails the job."""
+    size = F.lit(DIGEST)
+    part = F.transform(F.sequence(F.lit(0), (F.length("digests") / size - 1).cast("int")), lambda i: F.substr(F.col("digests"), i * size + 1, size))
+    refs = recipes.select(*keep, F.posexplode(part).alias("at", "name")).join(chunks.withColumn("there", F.lit(True)), "name", "left")
+    fault = F.raise_error(F.concat(F.lit("no chunk "), F.hex("name")))
+    return refs.withColumn("at", F.when(F.col("there"), F.col("at")).otherwise(fault.cast("int"))).drop("there")
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: every chunk is read and verified
     once; a document's checksum is put together from its chunks', equal recipes once."""
     recipes = read_recipes(spark, path)
-    chunks = read_chunks(spark, path).mapInArrow(check_chunks(kind), "name binary, n long, crc long")
-    size = F.lit(DIGEST)
-    count = F.length("digests") / size
-    part = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.substr(F.col("digests"), i * size + 1, size))
-    distinct = recipes.groupBy("root").agg(F.min("digests").alias("digests"), F.count(F.lit(1)).alias("copies"))
-    refs = distinct.select("root", F.posexplode(part).alias("at", "name"))
-    sized = stored(refs.join(chunks, "name").select("root", "at", "n", "crc"), "refs")
+    chunks = read_chunks(spark, path).mapInArrow(check_chunks(id_kind(spark, path)), "name binary, n long, crc long")
+    distinct = recipes.groupBy("root").agg(F.min("digests").alias("digests"))
+    sized = stored(referred(distinct, chunks, "root").select("root", "at", "n", "crc"), "refs")
     behind = Window.partitionBy("root").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     after = sized.select("root", "n", "crc", F.coalesce(F.sum("n").over(behind), F.lit(0)).alias("after"))
     whole = after.mapInArrow(add_moved, "root binary, n long, part long").groupBy("root").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(part)").alias("ids_crc32"))
-    return recipes.select("doc_id", "start", "root").join(whole, "root").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return joined(recipes.select("doc_id", "start", "root"), whole, "root", DIGEST).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): every document's id stream put together again."""
-    recipes, size = read_recipes(spark, path), F.lit(DIGEST)
-    part = F.transform(F.sequence(F.lit(0), (F.length("digests") / size - 1).cast("int")), lambda i: F.substr(F.col("digests"), i * size + 1, size))
-    refs = recipes.select("doc_id", "start", F.posexplode(part).alias("at", "name")).join(read_chunks(spark, path), "name")
+    kind = id_kind(spark, path)
+    refs = referred(read_recipes(spark, path), read_chunks(spark, path), "doc_id", "start")
     whole = refs.groupBy("doc_id", "start").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +429,12 @@ def read_ids(spark: SparkSession, path: str, kind: str = "<u2") -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids into a store in the shared folder, and their checksums from it."""
+    """All documents' ids into a store in the shared folder, which is verified, and their checksums
+    from it."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/id-store-{uuid.uuid4().hex}"
     write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    if faults := verify(spark, path).limit(5).collect():
+        raise ValueError(f"the store differs from its manifests: {faults}")
     return checksums(spark, path)
