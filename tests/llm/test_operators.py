@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -112,6 +113,30 @@ def test_fingerprints(spark, sf, texts):
         assert r.n_within == (near if i % 50 == 0 else None)
 
 
+def plain_simhash(text):
+    """64 signed votes by loops, with the hash that Spark's xxhash64 is."""
+    votes, total = [0] * 64, 0
+    for w in re.split(r"[\x20\x09-\x0D]+", text.lower()):
+        if w:
+            h, weight = xxhash.xxh64_intdigest(w.encode(), seed=42), max(1, min(8, len(w) - 2))
+            total += weight
+            for k in range(64):
+                votes[k] += weight * (h >> k & 1)
+    return sum(1 << k for k in range(64) if 2 * votes[k] > total)
+
+
+def test_fingerprint_values(spark, sf, texts, tmp_path):
+    """Fingerprints of texts and edited texts are those of the plain form, also on odd rows."""
+    order = sorted(texts, reverse=True)
+    for r in fingerprints.op1(spark, sf).collect():
+        t, nxt = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(t) // 2
+        assert int(r.fingerprint, 16) == plain_simhash(t)
+        assert int(r.edited_fingerprint, 16) == plain_simhash(t[: len(t) - half] + nxt[:half])
+    got = Counter((r.doc_id, r.n_chars, int(r.fingerprint, 16)) for r in fingerprints.op1(spark, on_disk(spark, tmp_path, ODD)).collect())
+    assert got == Counter((r[0], len(r[1] or ""), plain_simhash(r[1] or "")) for r in ODD)
+
+
 def test_fingerprint_search(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -170,6 +195,10 @@ def test_chat_layouts(spark):
     for schema, rows in shapes:
         r = chat.format_chats(spark.createDataFrame(rows, schema)).first()
         assert [(t.role, t.text) for t in r.turns] == want, schema
+    both = "conv_id long, messages array<struct<role:string,content:string>>, instruction string, input string, output string, question string, answer string"
+    mixed = [(1, [("user", "q"), ("assistant", "a")], *[None] * 5), (2, None, "q", "", "a", None, None), (3, None, None, None, None, "q", "a"), (4, None, "q", None, "a", None, None), (5, *[None] * 6), (3, None, None, None, None, "q", "a")]
+    got = Counter((r.conv_id, tuple((t.role, t.text) for t in r.turns)) for r in chat.format_chats(spark.createDataFrame(mixed, both)).collect())
+    assert got == Counter([(i, tuple(want) if i != 5 else ()) for i, *_ in mixed])
     none = spark.createDataFrame([(1, None)], shapes[0][0])
     assert chat.format_chats(none).first().turns == []
     with pytest.raises(ValueError, match="no chat layout"):
@@ -455,8 +484,15 @@ def test_permutation(spark, n):
 
 def test_sharding_odd(spark):
     for rows in (ODD, EMPTY):
-        out = sharding.sharded_documents(frame(spark, rows)).collect()
-        assert len(out) == len(rows) and len({(r.shard, r.slot) for r in out}) == len(rows)
+        some = frame(spark, rows).withColumns({"shard": F.lit("x"), "slot": F.lit("y")})
+        out = sharding.sharded_documents(some).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter(r[:2] for r in rows)
+        slots = {}
+        for r in out:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        counts = [len(slots.get(k, [])) for k in range(sharding.SHARDS)]
+        assert max(counts) - min(counts) <= 1
 
 
 # --- 6 wrappers

@@ -60,26 +60,39 @@ LAYOUTS: dict[str, tuple[list[str], str, str]] = {
 MAPPINGS = {fingerprint(paths): (name, kind, sql) for name, (paths, kind, sql) in LAYOUTS.items()}
 
 
-def mapping_for(schema: T.StructType) -> tuple[str, str, str]:
-    """The mapping whose fingerprint is that of the schema, or else of its largest subset of
-    paths that a mapping knows (extra columns, also with clashing names, don't matter)."""
+def mappings_for(schema: T.StructType) -> list[tuple[str, str, str]]:
+    """The mapping whose fingerprint is that of the schema, or else those of the subsets of its
+    paths that a mapping knows, the largest first (extra columns, also with clashing names, don't
+    matter). A table of turn rows has that mapping alone."""
     paths = field_paths(schema)
     if (hit := MAPPINGS.get(fingerprint(paths))) is not None:
-        return hit
-    inside = [p for p, _, _ in LAYOUTS.values() if set(p) <= set(paths)]
+        return [hit]
+    inside = sorted((p for p, _, _ in LAYOUTS.values() if set(p) <= set(paths)), key=len, reverse=True)
     if not inside:
         raise ValueError(f"no chat layout has the field paths {paths}")
-    return MAPPINGS[fingerprint(max(inside, key=len))]
+    found = [MAPPINGS[fingerprint(p)] for p in inside]
+    return found[:1] if found[0][1] == "rows" else [m for m in found if m[1] != "rows"]
+
+
+def row_turns(mappings: list[tuple[str, str, str]]) -> Column:
+    """Turns of a row of a table that fits several layouts: by the largest one of whose columns the
+    row has all, else some."""
+    tops = lambda name: sorted({p.split(":")[0].split("[")[0].split(".")[0] for p in LAYOUTS[name][0]})
+    has = lambda name, mode: F.expr(mode.join(f"`{c}` is not null" for c in tops(name)))
+    turns = [F.when(has(name, mode), F.expr(sql).cast(TURNS)) for mode in (" and ", " or ") for name, _, sql in mappings]
+    return F.coalesce(*turns, F.array().cast(TURNS))
 
 
 def canonical(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
-    """Any known layout as (conv_id, turns). Turn rows are grouped by conversation and ordered
-    by turn (nulls first; ties by role, then text); null roles and texts become empty."""
-    _, kind, sql = mapping_for(df.schema)
-    if kind == "rows":
+    """Any known layout, or several in one table, as (conv_id, turns). Turn rows are grouped by
+    conversation and ordered by turn (nulls first; ties by role, then text; repeated rows are turns
+    each); null roles and texts become empty, a null id is one conversation. Very long texts stay
+    whole; a conversation is one value, so it must fit a task."""
+    mappings = mappings_for(df.schema)
+    if mappings[0][1] == "rows":
         one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         return df.groupBy(F.col(id_column).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    turns = F.transform(F.coalesce(F.expr(sql), F.array().cast(TURNS)), lambda t: F.struct(t["turn"].alias("turn"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    turns = F.transform(row_turns(mappings), lambda t: F.struct(t["turn"].alias("turn"), F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return df.select(F.col(id_column).cast("long").alias("conv_id"), turns.alias("turns"))
 
 

@@ -110,7 +110,11 @@ def with_next(rows: DataFrame, value: str, cuts: list[int]) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' fingerprints and those of their edited texts. Also, for ids divisible by
-    50, how many documents have a fingerprint within 3 bits (itself included)."""
+    50, how many documents have a fingerprint within 3 bits (itself included).
+
+    Null texts are empty. Rows that share an id, or have none, follow one another by text hash (null
+    ids come last); repeated rows give a row each; a single row is its own next one; an empty table
+    gives no rows. Very long texts vote in groups of 200,000 words. Extra columns aren't looked at."""
     source = table(spark, sf_dir, "documents")
     cuts = cut_points(source, "doc_id", n_parts(source, 1 << 20))
     docs = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
