@@ -1,15 +1,19 @@
 """Readers, vocabulary, encoding, splits, ordering, sets, collection, pages, sinks, streaming."""
 
+import hashlib
+import http.server
 import json
 import os
 import random
+import threading
+import urllib.parse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from versefold.config import SITE
-from versefold.functions import text, urls
+from versefold.functions import scores, text, urls
 from versefold.operators import collect, encode, ordering, sets, split, vocab
 from versefold.sources import pages, pairs, sinks, state
 from versefold.streaming import pages as stream
@@ -185,7 +189,7 @@ def test_plans(spark):
     assert {r.key for r in collect.migrated(keys).collect()} == {"country=29"}
     items = spark.createDataFrame([("country=29",), ("country=3",)], "partition string")
     assert [r.partition for r in collect.reopened_problems(items, ["2"]).collect()] == ["country=3"]
-    assert [r.country for r in collect.countries_of(keys, ["10"]).collect()] == ["2", "3", "10", "29"]
+    assert [r.country for r in collect.countries_of(keys, ["10"]).collect()] == ["2", "10", "29"]
     w = collect.window_requests(spark.createDataFrame([(f"{SITE}/s?Country=2&Age%5B%5D=53",)], "url string")).orderBy("window").collect()
     assert w[0].window_url.endswith("&Sort=Date") and w[1].window_url.endswith("&Sort=Date&SortOrder=desc")
 
@@ -240,9 +244,78 @@ def test_fetch_retries():
             raise TimeoutError
         return "page"
 
-    assert pages.patient(get, sleep=waits.append)("u") == "page" and waits == [1, 2]
+    none = pages.Pace(0, 0, 0)
+    assert pages.patient(get, none, sleep=waits.append)("u") == "page" and waits == [1, 2]
     with pytest.raises(pages.FetchError):
-        pages.patient(lambda u: "robot?", is_challenge=lambda p: True, sleep=waits.append)("u")
+        pages.patient(lambda u: "robot?", none, is_challenge=lambda p: True, sleep=waits.append)("u")
+    waits.clear()
+    seen = iter(["robot?", "robot?", "page"])
+    pace = pages.Pace(0, 0, 0, challenge_retries=2, challenge_pause=(7, 7))
+    assert pages.patient(lambda u: next(seen), pace, lambda p: p == "robot?", waits.append)("u") == "page" and waits == [7, 7]
+    waits.clear()
+    now = iter([0, 1, 1, 10, 10, 10.5, 10.5, 20, 20])
+    paced = pages.patient(lambda u: u, pages.Pace(5, 0, 3, (400, 400)), sleep=waits.append, clock=lambda: next(now))
+    assert [paced(u) for u in "abcd"] == list("abcd") and waits == [4, 400, 4.5]
+    with pytest.raises(pages.FetchError, match="doesn't allow"):
+        pages.check_allowed(lambda u: "User-agent: *\nDisallow: /search", f"{SITE}/search-poem.php")
+    pages.check_allowed(lambda u: "", f"{SITE}/search-poem.php")
+
+
+def test_cookies(tmp_path):
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Set-Cookie", "seen=1; Max-Age=1000")
+            self.end_headers()
+            self.wfile.write((self.headers.get("Cookie") or "new").encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, jar = f"http://127.0.0.1:{server.server_port}/", str(tmp_path / "state" / "jar")
+    try:
+        get = pages.browser(jar)
+        assert (get(url), get(url), pages.browser(jar)(url), pages.browser()(url)) == ("new", "seen=1", "seen=1", "new")
+    finally:
+        server.shutdown()
+    open(jar, "w").write("no cookies")
+    with pytest.raises(pages.FetchError, match="cookie file"):
+        pages.browser(jar)
+
+
+def test_links_are_joined(spark):
+    links = ["x", "/x", "./x", "../x", "/a/../b", "/a/./b/", "/a/b/..", "?q=1", "#f", "", "x?q#f", "//h/p", "http://o/p/../q", "mailto:a@b", "/../../x/.", "a/b/../../c", " /x "]
+    got = spark.createDataFrame([(x,) for x in links], "h string").select(urls.absolute(F.col("h"))).collect()
+    assert [r[0] for r in got] == [x if ":" in x else urllib.parse.urljoin(SITE, x.strip()) for x in links]
+
+
+def test_long_edits(spark):
+    df = spark.createDataFrame([("a" * 1500, "b" * 1500)], "ref string, pred string")
+    assert tuple(df.select(scores.edit_counts(F.col("ref"), F.col("pred")).alias("e")).first().e) == (1500, 0, 0)
+    short = spark.createDataFrame([("a" * 90, "b" * 60)], "ref string, pred string")
+    assert tuple(short.select(scores.edit_counts_native(F.col("ref"), F.col("pred")).alias("e")).first().e) == (60, 30, 0)
+
+
+def test_batches_and_masks(spark):
+    rows = spark.range(100).withColumn("nll_sum", F.col("id").cast("double")).withColumn("n_tokens", F.lit(2))
+    got = encode.shuffled(rows, "id", 16).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(100)) and [r.batch for r in got] == [k // 16 for k in range(100)]
+    assert [r.id for r in got] == sorted(range(100), key=lambda i: hashlib.sha256(f"42\0{i}".encode()).hexdigest())
+    assert encode.mean_batch_loss(encode.batched(rows, "id", 30)).first().mean_batch_loss == pytest.approx(sum(sum(range(a, min(a + 30, 100))) / 2 / len(range(a, min(a + 30, 100))) for a in range(0, 100, 30)) / 4)
+    with pytest.raises(Exception, match="no batches"):
+        encode.mean_batch_loss(encode.batched(rows.limit(0), "id", 30)).collect()
+    masks = spark.range(3).select(encode.causal_mask(F.col("id").cast("int")).alias("m")).collect()
+    assert [r.m for r in masks] == [[], [[1]], [[1, 0], [1, 1]]]
+    assert [r.id for r in ordering.crossings(spark.range(16, 101, 16).unionByName(spark.range(100, 101)), "id", 100, 16, 40).collect()] == [48, 80, 100]
+
+
+def test_taken_stems(spark):
+    df = spark.createDataFrame([("a", "u1", 0), ("a", "u2", 1), ("b", "u3", 2)], "stem string, uid string, at int")
+    taken = spark.createDataFrame([("b",)], "stem string")
+    got = {r.uid: r.name for r in ordering.stem_names(df, "stem", "uid", "at", text.stem_with_uid, taken).collect()}
+    assert got == {"u1": "a", "u2": "a-u2", "u3": "b-u3"}
     assert not pages.allowed("User-agent: *\nDisallow: /x", f"{SITE}/x/1") and pages.allowed("", f"{SITE}/x")
     assert [pages.retry_wait(k) for k in range(5)] == [1, 2, 4, 8, 8]
 
@@ -266,8 +339,19 @@ def test_sinks(spark, tmp_path):
     assert {r.token: r.id for r in state.vocabulary_json(spark, str(tmp_path / "v.json")).collect()}["b"] == 4
     poems = spark.createDataFrame([("p", 1, "c", "d"), ("p", 0, "a", "b")], "name string, pos int, vi string, cn string")
     sinks.write_poems(poems, str(tmp_path / "poems"))
-    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+    with pytest.raises(FileExistsError, match="p exists"):
         sinks.write_poems(poems, str(tmp_path / "poems"))
+    other = poems.withColumn("name", F.lit("q r"))
+    sinks.write_poems(other, str(tmp_path / "poems"))
+    sinks.write_poems(poems.where("pos = 0"), str(tmp_path / "poems"), True)
+    assert {r.name for r in sinks.existing_poems(spark, str(tmp_path / "poems")).collect()} == {"p", "q r"}
+    back = spark.read.csv(str(tmp_path / "poems"), header=True)
+    assert {(r.name, r.vi) for r in back.collect()} == {("p", "a"), ("q r", "a"), ("q r", "c")}
+    assert sinks.existing_poems(spark, str(tmp_path / "none")).count() == 0
+    for said in ("a\nb\n", "a\n\nb", ""):
+        (tmp_path / "l.txt").write_text(said)
+        lines = sinks.read_lines(spark, str(tmp_path / "l.txt")).orderBy("line_no").collect()
+        assert "".join(r.value for r in lines) == said
 
 
 def test_stream(spark, tmp_path):

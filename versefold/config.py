@@ -11,6 +11,13 @@ HOSTS = ("poems.example", "www.poems.example")
 SPLITS, RATIOS, SEED = ("train", "test", "val"), (0.8, 0.1, 0.1), 42
 #: Seconds: delay and jitter of requests; every PAUSE_EVERY requests a long pause.
 DELAY, JITTER, PAUSE_EVERY, PAUSE = 5.0, 3.0, 40, (300.0, 600.0)
+#: How a page that asks for proof of a human says so, its captcha, and the marks of
+#: ordinary pages.
+CHALLENGE, CAPTCHA = "Xác nhận không phải máy truy cập tự động", 'class="g-recaptcha"'
+ORDINARY_MARKS = ('class="poem-content', "list-item-header", 'name="PoemType"', "search-author.php")
+#: Answers that are worth another try.
+RETRIED = (429, 500, 502, 503, 504)
+PROGRESS_SCHEMA, REPORT_SCHEMA = "poem-progress-v1", "poem-report-v1"
 CHECKPOINT_SCHEMAS = ("url-partitions-v2", "url-partitions-v3", "url-partitions-v4")
 #: The periods that each country with more results than a window is divided into.
 LEAF_AGES = {

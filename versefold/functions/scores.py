@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EDITS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("substitutions", "deletions", "insertions")])
-#: Digits of each count in a packed cell: distance, substitutions, deletions, insertions.
-PACK = 1000
+#: Each count in a packed cell (distance, substitutions, deletions, insertions) is below it.
+PACK = 1 << 15
 
 
 def edit_counts_native(ref: Column, pred: Column) -> Column:
-    """S, D and I of one shortest alignment, for strings under 1,000 code points, JVM-side.
+    """S, D and I of one shortest alignment, JVM-side; longer strings than 32,767 code points are an
+    error (the Arrow form takes them, and is faster from some hundred on).
 
     A fold over the prediction keeps one row of packed cells. Ties are broken by distance alone:
     match or substitution first, then deletion (of a reference character), then insertion."""
     s, d, i = PACK**3 + PACK**2, PACK**3 + PACK, PACK**3 + 1
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    ref_chars, cost = chars(ref), lambda cell: F.floor(cell / PACK**3)
+    ref_chars, cost = chars(ref), lambda cell: F.shiftright(cell, 45)
     top = F.transform(F.sequence(F.lit(0), F.length(ref)), lambda k: k.cast("long") * d)
 
     def row(before: Column, c: Column) -> Column:
@@ -39,7 +40,8 @@ def edit_counts_native(ref: Column, pred: Column) -> Column:
         return F.aggregate(cells, first, cell)
 
     last = F.aggregate(chars(pred), top, row, lambda cells: F.element_at(cells, -1))
-    part = lambda k: F.pmod(F.floor(last / PACK**k), F.lit(PACK)).cast("int")
+    last = F.when(F.greatest(F.length(ref), F.length(pred)) < PACK, last).otherwise(F.raise_error(F.lit("too long for edit_counts_native")).cast("long"))
+    part = lambda k: F.shiftright(last, 15 * k).bitwiseAND(F.lit(PACK - 1)).cast("int")
     return F.struct(part(2).alias("substitutions"), part(1).alias("deletions"), part(0).alias("insertions"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versefold.config import CAPTCHA, CHALLENGE, ORDINARY_MARKS
+
 #: White space as Unicode has it and the separators U+001C..1F; RE2 and Java read it alike.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Punctuation that is a token of its own in source text.
@@ -120,9 +122,8 @@ def result_count(text: Column) -> Column:
 
 def is_access_challenge(html: Column) -> Column:
     """A page that asks to prove one is human: it says so, or it has a captcha and none of the
-    marks of an ordinary page. Fixed values: the phrase and the marks."""
-    ordinary = ['class="poem-content', "list-item-header", 'name="PoemType"', "search-author.php"]
-    none = F.lit(True)
-    for mark in ordinary:
-        none &= ~F.contains(html, F.lit(mark))
-    return F.contains(html, F.lit("Xác nhận không phải máy truy cập tự động")) | (F.contains(html, F.lit('class="g-recaptcha"')) & none)
+    marks of an ordinary page."""
+    ordinary = F.lit(False)
+    for mark in ORDINARY_MARKS:
+        ordinary |= F.contains(html, F.lit(mark))
+    return F.contains(html, F.lit(CHALLENGE)) | (F.contains(html, F.lit(CAPTCHA)) & ~ordinary)

@@ -58,9 +58,24 @@ def author_uid(url: Column) -> Column:
     return F.nullif(F.regexp_extract(path(url), r"/author-([A-Za-z0-9_-]+)$", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without "." and ".." segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    tail = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
+
+
 def absolute(href: Column, base: str = SITE) -> Column:
-    """A link on the site made absolute."""
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(F.concat(F.lit(base + "/"), href))
+    """A link on the site made absolute, as seen from its root: with a scheme it stays, `//host` gets
+    one, paths lose their dots; `?query` and `#part` follow the root, and an empty link is the root."""
+    link = F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    ending = F.regexp_extract(link, r"^[^?#]*([?#].*)?$", 1)
+    own = F.regexp_extract(link, r"^([^?#]*)", 1)
+    rooted = F.when(own == "", own).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(F.lit("/"), own)))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit("https:"), link)).otherwise(F.concat(F.lit(base), rooted, ending))
 
 
 def page_numbers(urls: Column) -> Column:

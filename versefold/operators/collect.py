@@ -82,20 +82,27 @@ def migrated(keys: DataFrame, column: str = "key") -> DataFrame:
 
 
 def countries_of(keys: DataFrame, configured: list[str], column: str = "key") -> DataFrame:
-    """Country ids of a checkpoint without a list: those of its keys and of configured periods,
+    """Country ids of a checkpoint without a list: those of its whole countries and of configured periods,
     in numeric order."""
-    own = keys.select(F.nullif(F.regexp_extract(column, r"^country=(\d+)", 1), F.lit("")).alias("country")).where("country is not null")
+    own = keys.select(F.nullif(F.regexp_extract(column, r"^country=(\d+)$", 1), F.lit("")).alias("country")).where("country is not null")
     more = keys.sparkSession.createDataFrame([(c,) for c in configured], "country string")
     return own.unionByName(more).distinct().orderBy(F.col("country").cast("int"))
 
 
-def partition_stats(found: DataFrame, order: str = "seq") -> DataFrame:
+def partition_stats(found: DataFrame, order: str = "seq", configured: DataFrame | None = None) -> DataFrame:
     """(country, age) to URLs collected, and those no earlier partition had. found: country, age,
-    url and an order of discovery."""
+    url and an order of discovery; configured: country, age, results, which adds every configured
+    partition with its results, those that can be expected of two windows, and its strategy."""
     first = found.groupBy("url").agg(F.min(order).alias("__first")).withColumnRenamed("url", "__url")
     rows = found.join(first, found["url"] == first["__url"])
     key = partition_key(F.col("country"), F.col("age"), F.lit(None).cast("string"))
-    return rows.groupBy(key.alias("partition")).agg(F.count_distinct("url").alias("collected_urls"), F.count_if(F.col(order) == F.col("__first")).alias("new_unique_urls"))
+    stats = rows.groupBy(key.alias("partition")).agg(F.count_distinct("url").alias("collected_urls"), F.count_if(F.col(order) == F.col("__first")).alias("new_unique_urls"))
+    if configured is None:
+        return stats
+    n = F.col("results")
+    wanted = configured.select(key.alias("partition"), n.alias("configured_results"), F.least(n, F.lit(TWO_WINDOWS_LIMIT)).alias("expected"), shallow_strategy(n).alias("strategy"))
+    none = F.lit(0).cast("long")
+    return wanted.join(stats, "partition", "full").withColumns({c: F.coalesce(c, none) for c in ("collected_urls", "new_unique_urls")})
 
 
 def is_complete(unresolved: Column, found: Column, expected: Column) -> Column:

@@ -48,6 +48,37 @@ class Discovery:
     unresolved: list[DataFrame] = field(default_factory=list)
     done: list[DataFrame] = field(default_factory=list)
     expected: int = 0
+    completed: DataFrame | None = None
+    country_ids: list[str] = field(default_factory=list)
+    whole: bool = False
+
+    # resuming
+
+    def resume(self, doc: DataFrame) -> None:
+        """Go on from a checkpoint (one row): its URLs are found, its partitions aren't asked again.
+        Partitions of an older schema, of changed counts, and those that weren't resolved are reopened;
+        the number of results and the countries are the checkpoint's."""
+        row = doc.select("schema_version", "expected_total", "country_ids", "age_partition_counts").first()
+        problems = doc.select(F.explode("unresolved_partitions").alias("p")).select("p.partition").where("partition is not null")
+        keys = doc.select(F.explode(F.coalesce("completed_partitions", F.array().cast("array<string>"))).alias("key")).distinct()
+        ids = [c for c in row["country_ids"] or [] if c.isdigit()]
+        ids = list(self.genre.countries or ids) or [r[0] for r in collect.countries_of(keys, sorted(LEAF_AGES)).collect()]
+        if self.genre.ages and (row["age_partition_counts"] or {}) != self.genre.ages:
+            keys, problems = (f(df, sorted(self.genre.ages)) for f, df in ((collect.reopened, keys), (collect.reopened_problems, problems)))
+        if row["schema_version"] != CHECKPOINT_SCHEMAS[-1]:
+            keys = collect.migrated(keys)
+        again = problems.select(F.explode(F.array("partition", F.split_part("partition", F.lit("&age="), F.lit(1)))).alias("key"))
+        self.completed = stored(keys.join(again, "key", "left_anti"), "completed")
+        self.done.append(self.completed)
+        self.expected, self.country_ids = row["expected_total"] or 0, ids
+        if self.genre.mode != "shallow" and (self.expected <= 0 or not ids):
+            raise DiscoveryError("the checkpoint has no number of results or no countries")
+        at = F.struct(F.lit(0).alias("page"), F.col("url_idx").cast("int").alias("pos"))
+        urls = doc.select(F.posexplode("urls").alias("url_idx", "url")).groupBy("url").agg(F.min("url_idx").alias("url_idx"))
+        self.keep(stored(urls.select(F.lit("").alias("key"), "url", at.alias("at")), "known"))
+
+    def still_open(self, parts: DataFrame) -> DataFrame:
+        return parts if self.completed is None else parts.join(self.completed, "key", "left_anti")
 
     # requests
 
@@ -100,13 +131,16 @@ class Discovery:
         return rows.select(partition_key(F.col("country"), F.col("age"), none).alias("key"), partition_url(search, F.col("country"), F.col("age")).alias("base"), "country", "age")
 
     def countries(self) -> DataFrame:
-        """The requested countries; one that the form doesn't have is an error."""
+        """The requested countries; one that the form doesn't have is an error. The checkpoint's, if
+        there is one: then the form isn't read again."""
+        if self.country_ids:
+            return self.spark.createDataFrame([(c, None) for c in self.country_ids], "country string, age string")
         form = self.pages(self.spark.createDataFrame([(self.genre.search_url,)], "url string"))
         row = form.select(options(F.col("html"), "Country").alias("c"), results_of(F.col("html")).alias("n")).first()
         wanted = list(self.genre.countries or row["c"])
         if missing := sorted(set(wanted) - set(row["c"])):
             raise DiscoveryError(f"no countries {missing}")
-        self.expected = row["n"]
+        self.expected, self.country_ids = row["n"], wanted
         return self.spark.createDataFrame([(c, None) for c in wanted], "country string, age string")
 
     def ages(self, countries: DataFrame) -> DataFrame:
@@ -117,7 +151,7 @@ class Discovery:
 
     def by_age(self, countries: DataFrame) -> None:
         ages = stored(self.ages(countries), "ages")
-        parts = self.partitions(ages).join(ages, ["country", "age"])
+        parts = self.still_open(self.partitions(ages)).join(ages, ["country", "age"])
         zero = parts.where("configured = 0").select("key", "base", "country", "age", F.lit(0).cast("long").alias("results"), F.lit("skip").alias("strategy"))
         asked = self.counted(parts.where("configured is null or configured <> 0"))
         judged = stored(asked.withColumn("strategy", collect.age_strategy(F.col("results"), F.col("configured"))), "judged")
@@ -150,7 +184,7 @@ class Discovery:
         good = parts.select("key", "country", "age").join(left, "key", "left_anti")
         uid = author_uid(F.col("author"))
         each = known.join(good, "key").select(partition_key(F.col("country"), F.col("age"), uid).alias("key"), F.concat(partition_url(F.lit(self.genre.search_url), F.col("country"), F.col("age")), F.lit("&IAuthor="), F.url_encode(uid)).alias("base"), "country", "age")
-        judged = stored(self.counted(each).withColumn("strategy", collect.author_strategy(F.col("results"))), "authorparts")
+        judged = stored(self.counted(self.still_open(each)).withColumn("strategy", collect.author_strategy(F.col("results"))), "authorparts")
         self.give_up(judged.where("strategy = 'unresolved'"), "more than a window by one author")
         self.resolved(judged.where("strategy = 'all-pages'"))
         self.done += [judged.where("strategy = 'unresolved'").select("key"), good.select("key")]
@@ -158,7 +192,7 @@ class Discovery:
     # whole discoveries
 
     def country_age(self) -> DataFrame:
-        countries = self.counted(self.partitions(self.countries()))
+        countries = self.counted(self.still_open(self.partitions(self.countries())))
         has_ages = F.col("country").isin(*(LEAF_AGES | self.genre.ages))
         judged = stored(countries.withColumn("strategy", collect.country_strategy(F.col("results"), has_ages)), "countries")
         short = self.resolved(judged.where("strategy in ('all-pages', 'two-windows')"))
@@ -173,7 +207,7 @@ class Discovery:
     def recover(self) -> None:
         """Poems without a country come first or last when all are sorted by it."""
         tails = [("recovery-country-asc", "&Sort=Country"), ("recovery-country-desc", "&Sort=Country&SortOrder=desc")]
-        parts = self.spark.createDataFrame([(k, self.genre.search_url + t) for k, t in tails], "key string, base string")
+        parts = self.still_open(self.spark.createDataFrame([(k, self.genre.search_url + t) for k, t in tails], "key string, base string"))
         self.keep(self.listing(parts, "base", True))
         self.done.append(parts.select("key"))
 
@@ -184,17 +218,18 @@ class Discovery:
             raise DiscoveryError(f"no counts are configured for countries {missing}")
         rows = self.spark.createDataFrame([(c, a, n) for c in wanted for a, n in self.genre.ages[c].items()], "country string, age string, results long")
         self.expected = rows.agg(F.sum("results")).first()[0]
-        parts = stored(self.partitions(rows).join(rows, ["country", "age"]).withColumn("strategy", collect.shallow_strategy(F.col("results"))), "shallow")
+        parts = stored(self.still_open(self.partitions(rows)).join(rows, ["country", "age"]).withColumn("strategy", collect.shallow_strategy(F.col("results"))), "shallow")
         self.keep(self.listing(parts.where("strategy = 'all-pages'"), "base", False))
         windows = collect.window_requests(parts.where("strategy <> 'all-pages'"), "base")
         self.keep(self.listing(windows.select("key", "window_url"), "window_url", True))
         self.done.append(parts.select("key"))
+        self.whole = True
         return self.urls()
 
     def urls(self) -> DataFrame:
         """(url, seq): distinct, by where each was found first."""
-        rows = self.found[0]
-        for more in self.found[1:]:
+        rows = self.spark.createDataFrame([], "url string, seq struct<round:int,key:string,at:struct<page:int,pos:int>>")
+        for more in [f.select("url", "seq") for f in self.found]:
             rows = rows.unionByName(more)
         return rows.groupBy("url").agg(F.min("seq").alias("seq"))
 
@@ -204,7 +239,20 @@ class Discovery:
             out = out.unionByName(more)
         return out
 
+    def stats(self) -> list:
+        """Each partition's URLs, and those that none before had. One row a partition."""
+        first = self.urls().select(F.col("url").alias("__url"), F.col("seq").alias("__first"))
+        rows = self.spark.createDataFrame([], "key string, url string, seq struct<round:int,key:string,at:struct<page:int,pos:int>>")
+        for more in self.found:
+            rows = rows.unionByName(more.select("key", "url", "seq"))
+        rows = rows.where("key <> ''").join(first, F.col("url") == F.col("__url"))
+        return rows.groupBy("key").agg(F.count_distinct("url").alias("collected_urls"), F.count_if(F.col("seq") == F.col("__first")).alias("new_unique_urls")).orderBy("key").collect()
+
     def is_complete(self) -> bool:
+        """Shallow: all configured partitions are done. Else: none is unresolved and all results are
+        found."""
+        if self.genre.mode == "shallow":
+            return self.whole
         return not self.problems().limit(1).count() and self.urls().count() == self.expected
 
     def save(self, path: str, source: str) -> bool:
@@ -213,7 +261,7 @@ class Discovery:
 
         rows = [r["url"] for r in self.urls().orderBy("seq").select("url").toLocalIterator()]
         done = sorted({r["key"] for d in self.done for r in d.collect()})
-        doc = {"schema_version": CHECKPOINT_SCHEMAS[-1], "source": source, "strategy": self.genre.mode, "expected_total": self.expected, "age_partition_counts": self.genre.ages, "discovered_urls": len(rows), "completed_partitions": done, "unresolved_partitions": [r.asDict() for r in self.problems().collect()], "complete": self.is_complete(), "urls": rows}
+        doc = {"schema_version": CHECKPOINT_SCHEMAS[-1], "source": source, "strategy": self.genre.mode, "expected_total": self.expected, "country_ids": self.country_ids, "age_partition_counts": self.genre.ages, "discovered_urls": len(rows), "completed_partitions": done, "partition_stats": {r["key"]: {k: r[k] for k in ("collected_urls", "new_unique_urls")} for r in self.stats()}, "unresolved_partitions": [r.asDict() for r in self.problems().collect()], "complete": self.is_complete(), "urls": rows}
         write_whole(path, iter([json.dumps(doc, ensure_ascii=False, indent=2) + "\n"]))
         return doc["complete"]
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versefold.operators.ordering import dense_numbers
 from versefold.operators.vocab import FIRST, LAST, PAD
 
 IGNORED = -100
@@ -39,6 +40,22 @@ def batched(rows: DataFrame, order: str, size: int, out: str = "batch") -> DataF
     return rows.withColumn(out, F.floor(F.col(order) / size).cast("long"))
 
 
+def shuffled(rows: DataFrame, key: str, size: int, seed: int = 42, out: str = "batch") -> DataFrame:
+    """Batches of rows in a seeded order of their keys' hashes, as training takes them; the order's
+    number is `place`. No task sees all rows."""
+    ticket = F.sha2(F.concat_ws("\0", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"), 256)
+    mixed = rows.withColumn("__ticket", ticket)
+    placed = dense_numbers(mixed, F.substring("__ticket", 1, 3), [F.col("__ticket"), F.col(key)], "place")
+    return batched(placed.withColumn("place", F.col("place") - 1).drop("__ticket"), "place", size, out)
+
+
+def causal_mask(n: Column) -> Column:
+    """Square of n rows: row i sees places up to i (1), later ones are hidden (0)."""
+    places = F.sequence(F.lit(0), n - 1)
+    square = F.transform(places, lambda i: F.transform(places, lambda j: (j <= i).cast("int")))
+    return F.when(n > 0, square).otherwise(F.array().cast("array<array<int>>"))
+
+
 def padded_to(ids: Column, width: Column, fill: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(fill), (width - F.size(ids)).cast("int")))
 
@@ -114,3 +131,11 @@ def perplexity(rows: DataFrame) -> DataFrame:
     the plain mean of the rows' own averages (macro)."""
     nll = F.sum("nll_sum") / F.nullif(F.sum("n_tokens"), F.lit(0))
     return rows.agg(nll.alias("nll"), F.exp(nll).alias("perplexity"), F.avg(F.col("nll_sum") / F.nullif(F.col("n_tokens"), F.lit(0))).alias("mean_loss"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def mean_batch_loss(rows: DataFrame, batch: str = "batch") -> DataFrame:
+    """One row: the mean over batches of each one's average loss, as training reports it; without a
+    batch it is an error."""
+    each = rows.groupBy(batch).agg((F.sum("nll_sum") / F.nullif(F.sum("n_tokens"), F.lit(0))).alias("loss"))
+    n = F.count(F.lit(1))
+    return each.agg(F.when(n > 0, F.avg("loss")).otherwise(F.raise_error(F.lit("no batches")).cast("double")).alias("mean_batch_loss"), n.alias("n_batches"))

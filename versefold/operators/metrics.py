@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versefold.functions.scores import edit_counts, edit_counts_native, fscore, gram_stats, lcs_length, lcs_length_native
-from versefold.functions.text import normalize_target
+from versefold.functions.text import SPACE, normalize_target
 
 
 def details(pairs: DataFrame, ref: str = "ref", pred: str = "pred", native: bool = False) -> DataFrame:
     """Add exact_match, edit_distance, substitutions, deletions, insertions, news_fscore. The
-    native form is for strings under 1,000 code points."""
+    native form stays in the JVM and is for short strings."""
     r, p = F.col(ref), F.col(pred)
     edits = (edit_counts_native if native else edit_counts)(r, p)
     lcs = (lcs_length_native if native else lcs_length)(r, p)
@@ -68,6 +68,14 @@ def char_bleu(pairs: DataFrame, effective: bool = True, **names: str) -> float:
     return bleu_of({r["n"]: (r["matches"], r["pred_total"]) for r in rows}, *lengths(pairs, **names), effective)
 
 
+def training_bleu(pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> float:
+    """BLEU as training reports it: of raw strings cut into characters, which are words but for white
+    space (they stand apart already, so the standard tokenizing changes nothing), over all four
+    orders: 0 where predictions don't reach one."""
+    rows = pairs.select(*(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, "").alias(c) for c in (ref, pred)))
+    return char_bleu(rows, False, ref=ref, pred=pred)
+
+
 def chrf_row(grams: DataFrame) -> DataFrame:
     """chrF2 from gram_counts of orders 1 to 6: precision and recall are means over the orders
     that both sides have."""

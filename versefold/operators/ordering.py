@@ -46,8 +46,20 @@ def prefix(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     return df.orderBy(*order).limit(n) if n else df
 
 
-def stem_names(df: DataFrame, stem: str, uid: str, order: str, with_uid) -> DataFrame:
-    """`name`: the stem for its first user, the stem with the uid for later ones."""
+def crossings(df: DataFrame, done: str, total: int, size: int, every: int) -> DataFrame:
+    """Batches after which progress is told, by how many rows are done: the last one, and those in
+    which a multiple of `every` was passed (none for 0)."""
+    passed = F.col(done) % every < size if every else F.lit(False)
+    return df.where((F.col(done) == total) | passed)
+
+
+def stem_names(df: DataFrame, stem: str, uid: str, order: str, with_uid, taken: DataFrame | None = None) -> DataFrame:
+    """`name`: the stem for its first user, the stem with the uid for later ones and for all users
+    of a stem that is taken already (column `stem`)."""
     first = df.groupBy(stem).agg(F.min(order).alias("__first")).withColumnRenamed(stem, "__stem")
-    taken = df.join(first, df[stem].eqNullSafe(first["__stem"]))
-    return taken.withColumn("name", F.when(F.col(order) == F.col("__first"), F.col(stem)).otherwise(with_uid(F.col(stem), F.col(uid)))).drop("__first", "__stem")
+    if taken is not None:
+        first = first.join(taken.select(F.col("stem").alias("__taken")).distinct(), F.col("__stem") == F.col("__taken"), "left")
+        first = first.withColumn("__first", F.when(F.col("__taken").isNull(), F.col("__first"))).drop("__taken")
+    rows = df.join(first, df[stem].eqNullSafe(first["__stem"]))
+    own = F.coalesce(F.col(order) == F.col("__first"), F.lit(False))
+    return rows.withColumn("name", F.when(own, F.col(stem)).otherwise(with_uid(F.col(stem), F.col(uid)))).drop("__first", "__stem")

@@ -26,9 +26,11 @@ def vocabulary(rows: DataFrame, tokens: Column, key: str = "row_idx", specials:
     """(token, freq, id) of all tokens: ids after the specials by falling frequency, ties by first
     occurrence (key, then position). Tokens that are specials keep their special id.
 
-    Key and position share a long (keys from 0 below 2^36, positions below 2^27), so the counts
-    are a hash aggregation with partial sums."""
-    at = F.shiftleft(F.col(key).cast("long"), 27) + F.col("pos")
+    Key and position share a long (keys from 0 below 2^36, positions below 2^27; others are an
+    error), so the counts are a hash aggregation with partial sums."""
+    number = F.col(key).cast("long")
+    fits = number.between(0, (1 << 36) - 1) & (F.col("pos") < 1 << 27)
+    at = F.when(fits, F.shiftleft(number, 27) + F.col("pos")).otherwise(F.raise_error(F.lit("vocabulary: key or position out of range")).cast("long"))
     counts = exploded(rows, tokens, key).groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.min(at).alias("first"))
     plain = stored(counts.where(~F.col("token").isin(*specials)), "counts")
     block = F.struct((-F.col("freq")).alias("f"), F.shiftright("first", 27 + 12).alias("b"))
@@ -46,14 +48,26 @@ def joined(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(vocab) if few else vocab, "token", "left")
 
 
-def coverage(rows: DataFrame, tokens: Column, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
-    """One row: tokens and distinct tokens, those in the vocabulary, and both percentages (0 of
-    nothing)."""
+def sizes(vocab: DataFrame, specials: tuple[str, ...] = SOURCE_SPECIALS) -> DataFrame:
+    """One row: how many ids there are, specials included."""
+    return vocab.agg((F.count(F.lit(1)) + len(specials)).alias("size"))
+
+
+def histogram(rows: DataFrame, tokens: Column, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
+    """(token, n, known): counts of all tokens, and whether the vocabulary has them; the rows with
+    known are the covered tokens, the others the missing ones."""
     counts = exploded(rows, tokens, key).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    known = joined(counts, vocab.select("token", F.lit(True).alias("known")))
-    hit = F.coalesce("known", F.lit(False))
+    some = joined(counts, vocab.select("token", F.lit(True).alias("known")))
+    return some.select("token", "n", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def coverage(rows: DataFrame, tokens: Column, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
+    """One row: tokens and distinct tokens, those in the vocabulary, those missing from it, and both
+    percentages (0 of nothing)."""
+    known = histogram(rows, tokens, vocab, key)
+    hit = F.col("known")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    out = known.agg(total("n").alias("total_tokens"), total(F.when(hit, F.col("n"))).alias("covered_tokens"), F.count(F.lit(1)).alias("total_unique"), total(hit.cast("long")).alias("covered_unique"))
+    out = known.agg(total("n").alias("total_tokens"), total(F.when(hit, F.col("n"))).alias("covered_tokens"), total(F.when(~hit, F.col("n"))).alias("missing_tokens"), F.count(F.lit(1)).alias("total_unique"), total(hit.cast("long")).alias("covered_unique"))
     share = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b) * 100)
     return out.withColumns({"token_coverage": share("covered_tokens", "total_tokens"), "unique_coverage": share("covered_unique", "total_unique")})
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import http.cookiejar
+import os
 import random
 import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,13 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versefold.config import DELAY, JITTER, PAUSE, PAUSE_EVERY
+from versefold.config import CAPTCHA, CHALLENGE, DELAY, JITTER, ORDINARY_MARKS, PAUSE, PAUSE_EVERY, RETRIED, SITE
 from versefold.functions.text import SPACE, text_lines
 from versefold.functions.urls import absolute, author_uid, page_numbers, poem_uid, unescape_html
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+AGENT = "Mozilla/5.0"
+
+
 class FetchError(RuntimeError):
     """A page that can't be had: the run stops, its state is kept."""
 
@@ -32,33 +38,78 @@ def retry_wait(attempt: int) -> int:
 
 
 def http_get(url: str, opener=None, timeout: float = 30) -> str:
-    request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"})
+    request = urllib.request.Request(url, headers={"User-Agent": AGENT})
     with (opener or urllib.request.build_opener()).open(request, timeout=timeout) as answer:
         return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "strict")
 
 
-def patient(get: Callable[[str], str], retries: int = 4, delay: float = DELAY, jitter: float = JITTER, pause_every: int = PAUSE_EVERY, pause: tuple[float, float] = PAUSE, is_challenge: Callable[[str], bool] = lambda page: False, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
-    """A fetch function with pacing, a long pause now and then, retries of 429, 5xx, network and
-    decoding errors, and an error for pages that ask for proof of a human."""
-    done = 0
+def browser(cookie_file: str | None = None, timeout: float = 30) -> Callable[[str], str]:
+    """A get function that keeps cookies, in a file if told: read at the start (a damaged one is an
+    error), saved after each answer. Only the one task that fetches uses it."""
+    jar = http.cookiejar.LWPCookieJar(cookie_file)
+    if cookie_file and os.path.exists(cookie_file):
+        try:
+            jar.load(ignore_discard=True, ignore_expires=True)
+        except (OSError, ValueError) as e:
+            raise FetchError(f"{cookie_file}: not a cookie file: {e}") from e
+    opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(jar))
+
+    def get(url: str) -> str:
+        page = http_get(url, opener, timeout)
+        if cookie_file:
+            os.makedirs(os.path.dirname(os.path.abspath(cookie_file)), exist_ok=True)
+            jar.save(ignore_discard=True, ignore_expires=True)
+        return page
+
+    return get
 
-    def fetch(url: str) -> str:
-        nonlocal done
-        if done:
-            sleep(random.uniform(*pause) if done % pause_every == 0 else delay + random.uniform(0, jitter))
-        for attempt in range(retries + 1):
+
+@dataclass(frozen=True)
+class Pace:
+    """Seconds between requests and their jitter, a long pause every so many, retries, and what to do
+    when the site asks for proof of a human."""
+
+    delay: float = DELAY
+    jitter: float = JITTER
+    pause_every: int = PAUSE_EVERY
+    pause: tuple[float, float] = PAUSE
+    retries: int = 4
+    challenge_retries: int = 0
+    challenge_pause: tuple[float, float] = (0.0, 0.0)
+
+
+def patient(get: Callable[[str], str], pace: Pace = Pace(), is_challenge: Callable[[str], bool] = lambda page: False, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic, done: int = 0) -> Callable[[str], str]:  # noqa: B008
+    """A fetch function: every request, retries too, waits for its turn (done: requests before it).
+    Busy answers, network and decoding errors are tried again; a page that asks for proof of a human
+    isn't, but after a pause of its own; what is left is a FetchError."""
+    last = clock() if done else None
+
+    def asked(url: str) -> str:
+        nonlocal done, last
+        if pace.pause_every and done and done % pace.pause_every == 0:
+            sleep(random.uniform(*pace.pause))
+        if last is not None and (rest := pace.delay + random.uniform(0, pace.jitter) - (clock() - last)) > 0:
+            sleep(rest)
+        done, last = done + 1, clock()
+        return get(url)
+
+    def tried(url: str) -> str:
+        for attempt in range(pace.retries + 1):
             try:
-                page = get(url)
-                break
-            except urllib.error.HTTPError as e:
-                if e.code != 429 and e.code < 500 or attempt == retries:
-                    raise FetchError(f"{url}: {e}") from e
+                return asked(url)
             except (urllib.error.URLError, TimeoutError, UnicodeDecodeError) as e:
-                if attempt == retries:
+                final = isinstance(e, urllib.error.HTTPError) and e.code not in RETRIED
+                if final or attempt == pace.retries:
                     raise FetchError(f"{url}: {e}") from e
             sleep(retry_wait(attempt))
-        done += 1
-        if is_challenge(page):
+        raise AssertionError
+
+    def fetch(url: str) -> str:
+        for _ in range(pace.challenge_retries):
+            if not is_challenge(page := tried(url)):
+                return page
+            sleep(random.uniform(*pace.challenge_pause))
+        if is_challenge(page := tried(url)):
             raise FetchError(f"{url}: access challenge")
         return page
 
@@ -66,9 +117,8 @@ def patient(get: Callable[[str], str], retries: int = 4, delay: float = DELAY, j
 
 
 def challenged(page: str) -> bool:
-    """The plain form of text.is_access_challenge, for a page just fetched."""
-    ordinary = ('class="poem-content', "list-item-header", 'name="PoemType"', "search-author.php")
-    return "Xác nhận không phải máy truy cập tự động" in page or 'class="g-recaptcha"' in page and not any(m in page for m in ordinary)
+    """text.is_access_challenge for a page just fetched."""
+    return CHALLENGE in page or CAPTCHA in page and not any(m in page for m in ORDINARY_MARKS)
 
 
 def allowed(robots_txt: str, url: str, agent: str = "*") -> bool:
@@ -77,6 +127,12 @@ def allowed(robots_txt: str, url: str, agent: str = "*") -> bool:
     return parser.can_fetch(agent, url)
 
 
+def check_allowed(fetch: Callable[[str], str], url: str, site: str = SITE) -> None:
+    """Before anything else is fetched: whether the site's robots.txt lets us."""
+    if not allowed(fetch(f"{site}/robots.txt"), url, AGENT):
+        raise FetchError(f"robots.txt doesn't allow {url}")
+
+
 def fetched(urls: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
     """(url, html) of urls; `make` builds the fetch function in the one task that does the
     fetching, so that pacing holds for the whole run."""
@@ -89,6 +145,23 @@ def fetched(urls: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFr
     return urls.select("url").coalesce(1).mapInPandas(run, "url string, html string")
 
 
+def outcomes(urls: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """(url, html, stopped): like fetched, but the first page that can't be had is the last row, with
+    the reason, so all before it are kept."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = make()
+        for part in parts:
+            for url in part["url"]:
+                try:
+                    yield pd.DataFrame({"url": [url], "html": [fetch(url)], "stopped": [None]})
+                except FetchError as e:
+                    yield pd.DataFrame({"url": [url], "html": [None], "stopped": [str(e)]})
+                    return
+
+    return urls.select("url").coalesce(1).mapInPandas(run, "url string, html string, stopped string")
+
+
 class Element:
     __slots__ = ("tag", "attrs", "kids", "up")
 

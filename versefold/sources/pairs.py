@@ -35,6 +35,10 @@ POLICIES = {
 }
 
 
+#: Cells that typed reading takes for missing.
+NOTHING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 class PairFileError(ValueError):
     """A file that its policy doesn't accept, with file and rule."""
 
@@ -104,7 +108,8 @@ def read_pairs(spark: SparkSession, paths: list[str], policy: str = "strict", li
     wrong = [rule for rule, does in (("blank", p.blank), ("half", p.half), ("width", p.width)) if does == "error"]
     first = out.where(F.col("bad").isin(wrong)).select("genre", (F.col("row_idx") + 2).alias("record"), "bad").orderBy("genre", "record").limit(1).collect()
     if first:
-        raise PairFileError(f"{first[0]['genre']}:{first[0]['record']}: {first[0]['bad']} row")
+        n = out.where(F.col("bad") == first[0]["bad"]).count()
+        raise PairFileError(f"{first[0]['genre']}:{first[0]['record']}: {first[0]['bad']} row ({n} such rows in all)")
     rows = out.where("bad is null").drop("bad")
     return rows.orderBy("genre", "row_idx").limit(limit) if limit else rows
 
@@ -121,8 +126,7 @@ def read_typed(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     if not {"vi", "cn"} <= set(raw.columns):
         raise PairFileError(f"{path}: needs columns vi and cn")
-    none = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a"]
-    return raw.select(*(F.when(~F.col(c).isin(none), F.col(c)).alias(c) for c in ("vi", "cn"))).dropna()
+    return raw.select(*(F.when(~F.col(c).isin(*NOTHING), F.col(c)).alias(c) for c in ("vi", "cn"))).dropna()
 
 
 def read_parallel_text(spark: SparkSession, left: str, right: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versefold.config import CHECKPOINT_SCHEMAS
+from versefold.sources.sinks import write_whole
 
 CHECKPOINT = (
     "schema_version string, source string, strategy string, expected_total long, country_ids array<string>, age_partition_counts map<string, map<string, int>>, "
@@ -15,6 +18,10 @@ CHECKPOINT = (
 ITEM = "struct<status: string, output: string, title_vi: string, sentence_pairs: long, url: string, error: string>"
 
 
+PROGRESS_ROWS = "url string, status string, output string, title_vi string, sentence_pairs long, error string"
+PROGRESS_COLUMNS = ("url", "status", "output", "title_vi", "sentence_pairs", "error")
+
+
 class StateError(ValueError):
     """A state document that can't be used."""
 
@@ -55,9 +62,9 @@ def checkpoint_urls(doc: DataFrame) -> DataFrame:
 def progress(spark: SparkSession, path: str, source: str, schema_version: str) -> DataFrame:
     """(url, status, output, title_vi, sentence_pairs, error) of a progress document; none without
     one; one of another source or schema is an error."""
-    names = ("status", "output", "title_vi", "sentence_pairs", "error")
+    names = PROGRESS_COLUMNS[1:]
     if not exists(spark, path):
-        return spark.createDataFrame([], "url string, status string, output string, title_vi string, sentence_pairs long, error string")
+        return spark.createDataFrame([], PROGRESS_ROWS)
     doc = read_json(spark, path, f"schema_version string, source string, items map<string, {ITEM}>")
     row = doc.select("schema_version", "source").first()
     if row is None or (row["schema_version"], row["source"]) != (schema_version, source):
@@ -66,6 +73,13 @@ def progress(spark: SparkSession, path: str, source: str, schema_version: str) -
     return items.select("url", *(F.nullif(F.col(f"item.{n}"), F.lit("")).alias(n) if n == "output" else F.col(f"item.{n}").alias(n) for n in names))
 
 
+def save_progress(path: str, source: str, schema_version: str, items: dict[str, dict]) -> None:
+    """Write a progress document whole; entries without a value are left out."""
+    kept = {url: {k: v for k, v in item.items() if v is not None and (k != "url" or item["status"] == "skipped")} for url, item in items.items()}
+    doc = {"schema_version": schema_version, "source": source, "items": kept}
+    write_whole(path, iter([json.dumps(doc, ensure_ascii=False, indent=2) + "\n"]))
+
+
 def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
     """(token, id) of a vocabulary document."""
     text = spark.read.text(path, wholetext=True)
