@@ -6,6 +6,8 @@ import pytest
 from versefold.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries that may give no rows on the smallest tables.
+EMPTY = {"set_difference", "skipped_poems", "date_windows", "reopened_keys"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracle(spark, duck, sf, name):
     ours = catalog.queries()[name](spark, sf).toPandas()
+    assert len(ours) or name in EMPTY
     assert rows(ours) == rows(duck.sql(catalog.oracle_sql()[name]).df())
 
 

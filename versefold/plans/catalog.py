@@ -94,13 +94,51 @@ def normalize_target(t) -> DataFrame:
 
 
 @query(f"""WITH {VOCAB_SQL}, n AS (SELECT token, count(*) AS n FROM ({exploded_sql("benchmark", "item_id")}) GROUP BY token)
-SELECT CAST(sum(n) AS BIGINT) AS total_tokens, CAST(coalesce(sum(n) FILTER (v.token IS NOT NULL), 0) AS BIGINT) AS covered_tokens, count(*) AS total_unique, count(v.token) AS covered_unique,
+SELECT CAST(sum(n) AS BIGINT) AS total_tokens, CAST(coalesce(sum(n) FILTER (v.token IS NOT NULL), 0) AS BIGINT) AS covered_tokens, CAST(coalesce(sum(n) FILTER (v.token IS NULL), 0) AS BIGINT) AS missing_tokens, count(*) AS total_unique, count(v.token) AS covered_unique,
  round(coalesce(sum(n) FILTER (v.token IS NOT NULL), 0) / sum(n) * 100, 6) AS token_coverage, round(count(v.token) / count(*) * 100, 6) AS unique_coverage FROM n LEFT JOIN voc v ON n.token = v.token""")
 def vocab_coverage(t) -> DataFrame:
     out = vocab.coverage(t("benchmark"), text.tokenize_source(F.col("text")), stored_vocabulary(t), "item_id")
     return out.withColumns({c: F.round(c, 6) for c in ("token_coverage", "unique_coverage")})
 
 
+@query(f"WITH {VOCAB_SQL}, n AS (SELECT token, count(*) AS n FROM ({exploded_sql('benchmark', 'item_id')}) GROUP BY token) SELECT n.token, n, v.token IS NOT NULL AS known FROM n LEFT JOIN voc v ON n.token = v.token")
+def coverage_histogram(t) -> DataFrame:
+    """Counts of all tokens, covered and missing ones."""
+    return vocab.histogram(t("benchmark"), text.tokenize_source(F.col("text")), stored_vocabulary(t), "item_id")
+
+
+TARGET_SQL = f"""tk AS (SELECT doc_id, list_filter(string_split(replace({norm_sql('text')}, ' ', ''), ''), lambda x: x <> '') AS toks FROM documents),
+tv AS (SELECT token, CAST(3 + row_number() OVER (ORDER BY count(*) DESC, min(doc_id * 100000000 + pos)) AS INTEGER) AS id FROM (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM tk) GROUP BY token),
+bt AS (SELECT item_id, list_filter(string_split(replace({norm_sql('text')}, ' ', ''), ''), lambda x: x <> '') AS toks FROM benchmark),
+te AS (SELECT item_id, list(coalesce(id, 1) ORDER BY pos) AS ids, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE e.token END, '' ORDER BY pos) AS said FROM (SELECT item_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos FROM bt) e LEFT JOIN tv ON e.token = tv.token GROUP BY item_id)"""
+
+
+def target_vocabulary(t) -> DataFrame:
+    docs = spread(t("documents").select("doc_id", "text"))
+    return stored(vocab.vocabulary(docs, text.tokenize_target(F.col("text")), "doc_id", vocab.TARGET_SPECIALS), "target")
+
+
+@query(f"WITH {TARGET_SQL} SELECT item_id, array_to_string(ids, ',') AS plain, '2,' || array_to_string(ids, ',') AS started, array_to_string(ids, ',') || ',3' AS ended FROM te")
+def encode_target(t) -> DataFrame:
+    """Target ids, with the first and last special id each asked for on its own."""
+    known, rows = target_vocabulary(t), t("benchmark")
+    one = lambda name, first, last: vocab.encoded(rows, text.tokenize_target(F.col("text")), known, "item_id", first, last).select("item_id", listed("ids").alias(name))
+    return one("plain", False, False).join(one("started", True, False), "item_id").join(one("ended", False, True), "item_id")
+
+
+@query(f"WITH {TARGET_SQL} SELECT item_id, said AS text FROM te")
+def decode_target(t) -> DataFrame:
+    known = target_vocabulary(t)
+    ids = vocab.encoded(t("benchmark"), text.tokenize_target(F.col("text")), known, "item_id")
+    return vocab.decoded(ids, F.col("ids"), known, "item_id", target=True)
+
+
+@query(f"WITH {VOCAB_SQL}, {TARGET_SQL} SELECT (SELECT count(*) + 4 FROM voc) AS source, (SELECT count(*) + 4 FROM tv) AS target")
+def vocabulary_sizes(t) -> DataFrame:
+    source, target = vocab.sizes(stored_vocabulary(t)), vocab.sizes(target_vocabulary(t), vocab.TARGET_SPECIALS)
+    return source.select(F.col("size").alias("source")).join(target.select(F.col("size").alias("target")))
+
+
 ENCODED_SQL = f"""{VOCAB_SQL}, enc AS (SELECT item_id, list_concat([2], list_concat(list(coalesce(v.id, 1) ORDER BY pos), [3])) AS ids FROM ({exploded_sql("benchmark", "item_id")}) e LEFT JOIN voc v ON e.token = v.token GROUP BY item_id)"""
 
 
@@ -153,17 +191,18 @@ def echo_model():
         k = out.shape[1]
         want = inputs[:, k] if k < inputs.shape[1] else np.full(len(inputs), vocab.LAST)
         want = np.where(want == vocab.PAD, vocab.LAST, want)
-        return np.eye(4096)[np.minimum(want, 4095)]
+        scores_ = np.zeros((len(want), int(want.max(initial=0)) + 1))
+        scores_[np.arange(len(want)), want] = 1
+        return scores_
 
     return step
 
 
-@query("SELECT item_id, '2' || repeat(',7', least(length(text), 20)::INT) || ',3' AS ids FROM benchmark")
+@query(f"WITH {ENCODED_SQL} SELECT item_id, array_to_string(ids[1:128], ',') AS ids FROM enc")
 def greedy_decode(t) -> DataFrame:
-    n = F.least(F.length("text"), F.lit(20))
-    rows = t("benchmark").select("item_id", F.concat(F.array(F.lit(2)), F.array_repeat(F.lit(7), n), F.array(F.lit(3))).alias("ids"))
+    """Up to 127 new ids of a model that echoes: each text's own, padding cut off."""
     trimmed = F.filter("prediction_ids", lambda i: i != vocab.PAD)
-    return encode.predicted(rows, "ids", echo_model).select("item_id", listed(trimmed).alias("ids"))
+    return encode.predicted(encoded_benchmark(t), "ids", echo_model).select("item_id", listed(trimmed).alias("ids"))
 
 
 @query("""WITH z AS (SELECT vec_id, label + 1 AS y, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -175,6 +214,28 @@ def nll_perplexity(t) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("nll", "perplexity", "mean_loss")})
 
 
+@query("""WITH z AS (SELECT vec_id, vec_id // 16 AS batch, label + 1 AS y, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+r AS (SELECT batch, avg(ln(list_sum(list_transform(e, lambda x: exp(x)))) - e[y]) AS loss FROM z GROUP BY batch) SELECT round(avg(loss), 6) AS mean_batch_loss, count(*) AS n_batches FROM r""")
+def batch_loss(t) -> DataFrame:
+    """Mean over batches of each one's loss."""
+    rows = t("embeddings").select("vec_id", F.array(F.col("embedding").cast("array<double>")).alias("z"), F.array("label").alias("y"))
+    out = encode.mean_batch_loss(encode.batched(encode.token_losses(rows, "z", "y"), "vec_id", 16))
+    return out.withColumn("mean_batch_loss", F.round("mean_batch_loss", 6))
+
+
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42' || chr(0) || doc_id), doc_id) - 1 AS place FROM documents) SELECT doc_id, place, place // 16 AS batch FROM o")
+def shuffled_batches(t) -> DataFrame:
+    return encode.shuffled(t("documents").select("doc_id"), "doc_id", 16)
+
+
+@query("SELECT n_nationkey, array_to_string(list_transform(generate_series(1, length(n_name)), lambda i: repeat('1', i::INT) || repeat('0', (length(n_name) - i)::INT)), ',') AS mask, repeat('1', length(n_name)::INT) || repeat('0', 3) AS padding FROM nation")
+def attention_masks(t) -> DataFrame:
+    """Causal masks, and masks of padded ids."""
+    causal = F.array_join(F.transform(encode.causal_mask(F.length("n_name")), lambda row: F.array_join(row.cast("array<string>"), "")), ",")
+    ids = F.concat(F.array_repeat(F.lit(7), F.length("n_name")), F.array_repeat(F.lit(vocab.PAD), 3))
+    return t("nation").select("n_nationkey", causal.alias("mask"), F.array_join(encode.inference_mask(ids).cast("array<string>"), "").alias("padding"))
+
+
 # --- splits, order, sets -------------------------------------------------------------------
 
 
@@ -229,9 +290,11 @@ def union_merge(t) -> DataFrame:
     return one("benchmark", "item_id").unionByName(one("documents", "doc_id"))
 
 
-@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_difference(t) -> DataFrame:
-    return sets.difference(t("customer").select(F.col("c_custkey").alias("custkey")), t("orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    """Customers without a large order."""
+    large = t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey"))
+    return sets.difference(t("customer").select(F.col("c_custkey").alias("custkey")), large, "custkey")
 
 
 @query("SELECT count(*) = 0 AS is_subset, count(*) AS n_missing FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
@@ -258,12 +321,12 @@ def blank_policy(t) -> DataFrame:
 
 
 def name_pairs(t) -> DataFrame:
-    """Each part's name and the name 97 parts on."""
-    p = t("part").select("p_partkey", F.col("p_name").alias("ref"))
-    return p.join(p.select((F.col("p_partkey") - 97).alias("p_partkey"), F.col("ref").alias("pred")), "p_partkey").withColumnRenamed("p_partkey", "row_idx")
+    """Each part's name and the name 97 parts on, the first after the last."""
+    p, n = t("part").select("p_partkey", F.col("p_name").alias("ref")), t("part").count()
+    return p.join(p.select(F.pmod(F.col("p_partkey") - 97, F.lit(n)).alias("at"), F.col("ref").alias("pred")), F.col("p_partkey") == F.col("at")).drop("at").withColumnRenamed("p_partkey", "row_idx")
 
 
-NAMES_SQL = "np AS (SELECT a.p_partkey AS row_idx, a.p_name AS ref, b.p_name AS pred, string_split(a.p_name, '') AS r, string_split(b.p_name, '') AS p FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 97)"
+NAMES_SQL = "np AS (SELECT a.p_partkey AS row_idx, a.p_name AS ref, b.p_name AS pred, string_split(a.p_name, '') AS r, string_split(b.p_name, '') AS p FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 97) % (SELECT count(*) FROM part))"
 #: Packed cells as in edit_counts_native: distance, then S, D, I, three digits each.
 EDIT_SQL = """ed AS (SELECT *, list_reduce(p, lambda row, c: list_reduce(list_transform(generate_series(1, len(r)), lambda j: [row[j] + CASE WHEN r[j] = c THEN 0 ELSE 1001000000 END, row[j + 1] + 1000000001]),
  lambda done, x: list_append(done, CASE WHEN x[1] // 1000000000 <= (done[len(done)] + 1000001000) // 1000000000 AND x[1] // 1000000000 <= x[2] // 1000000000 THEN x[1]
@@ -285,19 +348,31 @@ def lcs_fscore(t) -> DataFrame:
     return rows.select("row_idx", "lcs", F.round(scores.fscore(F.col("lcs"), F.col("ref"), F.col("pred")), 6).alias("news_fscore"))
 
 
-@query(f"""WITH {NAMES_SQL}, {EDIT_SQL} SELECT count(*) AS samples, count(*) FILTER (ref = pred) AS exact_matches, round(sum(c // 1000000000) / sum(length(ref)), 6) AS cer, round(1 - sum(c // 1000000000) / sum(length(ref)), 6) AS char_accuracy,
- CAST(sum(length(ref)) AS BIGINT) AS ref_chars, CAST(sum(length(pred)) AS BIGINT) AS pred_chars, CAST(sum(c // 1000000 % 1000) AS BIGINT) AS substitutions, CAST(sum(c // 1000 % 1000) AS BIGINT) AS deletions, CAST(sum(c % 1000) AS BIGINT) AS insertions FROM ec""")
+@query("""WITH p AS (SELECT n_nationkey AS k, 1000 + 20 * n_nationkey AS r, 1100 + 7 * n_nationkey AS q FROM nation) SELECT k AS row_idx, CAST(greatest(r, q) AS INTEGER) AS edit_distance, CAST(least(r, q) AS INTEGER) AS substitutions, CAST(greatest(r - q, 0) AS INTEGER) AS deletions, CAST(greatest(q - r, 0) AS INTEGER) AS insertions FROM p""")
+def long_edit_counts(t) -> DataFrame:
+    """Edits of strings of over 1,000 code points that share none."""
+    k = F.col("n_nationkey").cast("int")
+    pairs = t("nation").select(k.alias("row_idx"), F.expr("repeat('a', 1000 + 20 * n_nationkey)").alias("ref"), F.expr("repeat('天', 1100 + 7 * n_nationkey)").alias("pred"))
+    return metrics.details(pairs).select("row_idx", "edit_distance", "substitutions", "deletions", "insertions")
+
+
+@query(f"""WITH {NAMES_SQL}, {EDIT_SQL}, {LCS_SQL}, fs AS (SELECT round(avg(2.0 * cells[len(cells)] / (len(r) + len(p))), 6) AS news_fscore FROM lc) SELECT any_value(news_fscore) AS news_fscore, count(*) AS samples, count(*) FILTER (ref = pred) AS exact_matches, round(sum(c // 1000000000) / sum(length(ref)), 6) AS cer, round(1 - sum(c // 1000000000) / sum(length(ref)), 6) AS char_accuracy,
+ CAST(sum(length(ref)) AS BIGINT) AS ref_chars, CAST(sum(length(pred)) AS BIGINT) AS pred_chars, CAST(sum(c // 1000000 % 1000) AS BIGINT) AS substitutions, CAST(sum(c // 1000 % 1000) AS BIGINT) AS deletions, CAST(sum(c % 1000) AS BIGINT) AS insertions FROM ec, fs""")
 def corpus_metrics(t) -> DataFrame:
     out = metrics.totals(metrics.details(name_pairs(t)))
-    return out.select("samples", "exact_matches", F.round("cer", 6).alias("cer"), F.round("char_accuracy", 6).alias("char_accuracy"), "ref_chars", "pred_chars", "substitutions", "deletions", "insertions")
+    return out.select("samples", "exact_matches", F.round("news_fscore", 6).alias("news_fscore"), F.round("cer", 6).alias("cer"), F.round("char_accuracy", 6).alias("char_accuracy"), "ref_chars", "pred_chars", "substitutions", "deletions", "insertions")
 
 
 def turn_pairs(t) -> DataFrame:
     """User turns and the assistant turns that follow them, whole, without white space."""
+    return raw_turns(t).select("row_idx", text.normalize_target(F.col("ref")).alias("ref"), text.normalize_target(F.col("pred")).alias("pred"))
+
+
+def raw_turns(t) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = t("conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next_text"))
     rows = rows.where("role = 'user' and next_role = 'assistant'")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"), text.normalize_target(F.col("text")).alias("ref"), text.normalize_target(F.col("next_text")).alias("pred"))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"), F.col("text").alias("ref"), F.col("next_text").alias("pred"))
 
 
 @query()
@@ -333,6 +408,14 @@ def char_bleu(t) -> DataFrame:
     return pairs.sparkSession.createDataFrame([(round(metrics.char_bleu(pairs), 6),)], "bleu double")
 
 
+@query(f"""WITH {GRAMS_SQL.replace('nfc_normalize(coalesce(text, ' + quoted('') + '))', "coalesce(text, '')").replace('nfc_normalize(coalesce(nt, ' + quoted('') + '))', "coalesce(nt, '')")}, l AS (SELECT sum(length(r)) AS r, sum(length(p)) AS p FROM tp)
+SELECT round(any_value(CASE WHEN l.p >= l.r THEN 1.0 ELSE exp(1 - l.r / l.p) END) * exp(avg(ln(100.0 * matches / pred_total))), 6) AS bleu FROM gm, l WHERE n <= 4""")
+def training_bleu(t) -> DataFrame:
+    """BLEU of raw turns, as training reports it."""
+    pairs = stored(raw_turns(t), "turns")
+    return pairs.sparkSession.createDataFrame([(round(metrics.training_bleu(pairs), 6),)], "bleu double")
+
+
 @query(f"WITH {GRAMS_SQL}, pr AS (SELECT avg(matches / pred_counted) AS p, avg(matches / ref_total) AS r FROM gm WHERE pred_counted > 0 AND ref_total > 0) SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf2 FROM pr")
 def chrf2(t) -> DataFrame:
     return metrics.chrf_row(metrics.gram_counts(turn_pairs(t), 6)).select(F.round("chrf2", 6).alias("chrf2"))
@@ -369,13 +452,6 @@ def access_challenge(t) -> DataFrame:
     return t("pages").select("page_id", text.is_access_challenge(F.col("html")).alias("challenge"))
 
 
-@query()
-def poem_pages(t) -> DataFrame:
-    made = F.concat(F.lit('<div class="poem-content"><div class="poem-view-separated"><h4><span class="han-chinese">題</span></h4><p class="han-chinese">'), F.replace("text", F.lit("\n"), F.lit("<br>")), F.lit("</p><h4>Tựa</h4><p>"), F.replace("text", F.lit("\n"), F.lit("<br>")), F.lit("</p></div></div>"))
-    rows = t("benchmark").select(F.concat(F.lit(f"{config.SITE}/poem-"), "item_id").alias("url"), made.alias("html"))
-    return page_source.pair_rows(page_source.poems(rows))
-
-
 SLUG_SQL = "regexp_replace(lower(strip_accents(p_name || ' ' || p_brand)), '[^a-z0-9]+', '', 'g')"
 
 
@@ -489,8 +565,11 @@ def parse_result_count(t) -> DataFrame:
 
 
 def queries() -> dict:
+    import versefold.plans.site  # noqa: F401 (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
