@@ -61,7 +61,7 @@ def split(rows: DataFrame, stratum: str, row: str, ratios: Sequence[float] = RAT
     test, then val. Ranks go by the leading hex digits of the key, so that a stratum of any size
     is spread over tasks."""
     keyed = rows.withColumn("__key", stratum_key(F.col(stratum), F.col(row), seed))
-    ranked = dense_numbers(keyed, F.substring("__key", 1, 2), [F.col("__key"), F.col(row)], "rank", [stratum])
+    ranked = dense_numbers(keyed, F.substring("__key", 1, 3), [F.col("__key"), F.col(row)], "rank", [stratum])
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n")).select(F.col(stratum).alias("__s"), sizes(F.col("__n"), ratios).alias("__sizes"))
     train, test = F.col("__sizes")[0], F.col("__sizes")[0] + F.col("__sizes")[1]
     name = F.when(F.col("rank") <= train, SPLITS[0]).when(F.col("rank") <= test, SPLITS[1]).otherwise(SPLITS[2])
