@@ -21,8 +21,8 @@ PROGRESS_SCHEMA, REPORT_SCHEMA = "poem-progress-v1", "poem-report-v1"
 CHECKPOINT_SCHEMAS = ("url-partitions-v2", "url-partitions-v3", "url-partitions-v4")
 #: The periods that each country with more results than a window is divided into.
 LEAF_AGES = {
-    "2": "50 52 53 54 55 56 57 2 3".split(),
-    "3": "21 22 23 24 25 26 27 5 6 7 8 9 10 12 13 28 29 14 15 16 17 18".split(),
+    "2": ["50", "52", "53", "54", "55", "56", "57", "2", "3"],
+    "3": ["21", "22", "23", "24", "25", "26", "27", "5", "6", "7", "8", "9", "10", "12", "13", "28", "29", "14", "15", "16", "17", "18"],
 }
 
 
