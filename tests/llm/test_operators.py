@@ -434,6 +434,32 @@ def test_maxent_against_plain_model(spark):
     assert np.abs(model.w - want).max() < 1e-3 and np.abs(want).max() > 0.1
 
 
+def test_maxent_contexts_beyond_the_lexicon(spark, monkeypatch):
+    """Words without an id of their own still tell as contexts which word comes next."""
+    monkeypatch.setattr(maxent, "LEXICON", 3)
+    rng = random.Random(11)
+    after = {f"rare{k}": ("left", "right")[k % 2] for k in range(60)}
+    rows = []
+    for i in range(200):
+        some = rng.choices(sorted(after), k=30)
+        rows.append((i, " ".join(f"{x} {after[x]}" for x in some), "en", "a", 1))
+
+    def one_class(lex):
+        lex.klass[:] = lex.class_of[: len(lex.keys)] = 0
+        lex.below[0] = (lex.count + maxent.SMOOTH).sum()
+        lex.grow()
+
+    lex, model = trained(frame(spark, rows).select("doc_id", "text"), one_class)
+    assert len(lex.keys) == 3
+    for x, word in after.items():
+        share = {}
+        for y in ("left", "right"):
+            s = sequence(f"{x} {y}", lex)
+            assert s.ids[0] >= lex.tail_id and s.ids[1] < lex.tail_id
+            share[y] = model.log_within(s, 1, 2, s.features(1, 2))[0] + np.log(10) * lex.rest[s.ids[1]]
+        assert share[word] > share[{"left": "right", "right": "left"}[word]] + 0.5
+
+
 def test_maxent_scores_are_the_models(spark):
     """Scores of the query are the sums of the model's own log shares, unknown words included."""
     rng = random.Random(5)
@@ -447,7 +473,7 @@ def test_maxent_scores_are_the_models(spark):
         s = sequence(t or "", lex)
         features = s.features(0, len(s.at))
         of = model.log_shares(features)[np.arange(len(s.at)), lex.class_of[s.ids]] + model.log_within(s, 0, len(s.at), features)
-        rest = np.where(s.ids == lex.tail_id, np.log10(maxent.SMOOTH / lex.below[maxent.TAIL]), lex.rest[s.ids])
+        rest = np.where(s.ids >= lex.tail_id, np.log10(maxent.SMOOTH / lex.below[maxent.TAIL]), lex.rest[s.ids])
         assert got[i, len(s.at)] == pytest.approx((of / np.log(10) + rest).sum(), rel=1e-4, abs=1e-4)
 
 

@@ -5,7 +5,7 @@ hashed features: the word before (bigram), the two before (trigram), the words t
 (skips), and the last three classes. The words of a class are the leaves of a binary tree, split at
 half their smoothed counts; each step is a logistic choice by the hashed bigram, trigram and skip
 features, from the counts' ratio as its start. Rare steps (RICH, OFTEN) go by the ratio alone. Classes are clusters of the documents that a word is commonest in, cut into bands of frequency; all words
-beyond the lexicon share one class, and so does the unknown word. Training: exact counts of all
+beyond the lexicon share one class, and so does the unknown word; as contexts they go by their hashes. Training: exact counts of all
 training documents set the start, then each training document gives its gradient once, in
 rounds of synchronous distributed updates."""
 
@@ -27,6 +27,8 @@ FOLDS, SMOOTH = 10, 0.1
 #: Words with ids of their own at most (the commonest); all others are scored by exact counts too,
 #: through a join.
 LEXICON = 1 << 19
+#: As contexts those others have so many ids, by their keys' hashes.
+TAILS = 1 << 16
 CLUSTERS, BANDS, VECTOR = 6, (0.5, 0.8), 256
 CLASSES = CLUSTERS * (len(BANDS) + 1) + 1
 TAIL = CLASSES - 1
@@ -240,10 +242,11 @@ class Lexicon:
         self.within = np.log10((self.count + SMOOTH) / self.below[klass]) if len(klass) else np.zeros(0)
         self.base = np.log10((self.count + SMOOTH) / self.base_below) if len(klass) else np.zeros(0)
         self.grow()
-        #: By id; the ids after the words are one for any other word and one for before the text.
-        self.tail_id, self.start_id = len(self.keys), len(self.keys) + 1
-        self.class_of = np.concatenate([klass, [TAIL, TAIL]]).astype(np.int64)
-        h = mixed(np.concatenate([self.keys, np.array([16, 24], np.uint64)]))
+        #: By id; the ids after the words are those of any other word, from tail_id on, and one for
+        #: before the text.
+        self.tail_id, self.start_id = len(self.keys), len(self.keys) + TAILS
+        self.class_of = np.concatenate([klass, np.full(TAILS + 1, TAIL)]).astype(np.int64)
+        h = mixed(np.concatenate([self.keys, np.arange(2, TAILS + 3, dtype=np.uint64) * U(8)]))
         self.slots = [((h >> U(7 + 14 * i)) % U(BUCKETS)).astype(np.uint16) for i in range(3)]
 
     def grow(self) -> None:
@@ -251,7 +254,8 @@ class Lexicon:
         parent's right child) and odds (log of right to left counts); by word: leaf, on_right and
         rest, the log10 of its share below its leaf node. Tail and start have no node."""
         n = len(self.keys)
-        self.leaf, self.on_right, self.rest = np.full(n + 2, -1, np.int32), np.zeros(n + 2, bool), np.zeros(n + 2)
+        size = n + TAILS + 1
+        self.leaf, self.on_right, self.rest = np.full(size, -1, np.int32), np.zeros(size, bool), np.zeros(size)
         if not n:
             self.up, self.right, self.odds = np.zeros(0, np.int32), np.zeros(0, bool), np.zeros(0, np.float32)
             return
@@ -306,10 +310,10 @@ class Lexicon:
         self.leaf[order], self.on_right[order], self.rest[order] = node, on_right, np.log10(mass / under)
 
     def ids(self, keys: np.ndarray) -> np.ndarray:
-        """Word ids; tail_id for words that aren't in the lexicon."""
+        """Word ids; from tail_id on for words that aren't in the lexicon."""
         p = (keys >> U(64 - PREFIX)).astype(np.int64)
         at, end = self.first[p].astype(np.int64), self.first[p + 1]
-        out = np.full(len(keys), self.tail_id, np.int64)
+        out = np.full(len(keys), -1, np.int64)
         open_ = np.flatnonzero(at < end)
         while len(open_):
             hit = self.keys[at[open_]] == keys[open_]
@@ -317,6 +321,8 @@ class Lexicon:
             open_ = open_[~hit]
             at[open_] += 1
             open_ = open_[at[open_] < end[open_]]
+        other = np.flatnonzero(out < 0)
+        out[other] = self.tail_id + (mixed(keys[other]) >> U(40)).astype(np.int64) % TAILS
         return out
 
 
@@ -337,10 +343,10 @@ def encoded(docs: DataFrame, lexicon) -> DataFrame:
                 keys[at] = w.hash & KEY
                 bounds = w.of + np.arange(n + 1)
                 ids = lex.ids(keys)
-                new = keys[ids == lex.tail_id]
-                of = np.searchsorted(np.flatnonzero(ids == lex.tail_id), bounds)
+                new = np.flatnonzero(ids >= lex.tail_id)
+                of = np.searchsorted(new, bounds)
                 cols = [batch.column(c).slice(i, n) for c in ("doc_id", "learn")]
-                yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *cols, cut(ids.astype(np.int32), bounds), cut(new, of)], names=[x.split()[0] for x in ENCODED.split(", ")])
+                yield pa.record_batch([pa.array(np.arange(uid, uid + n)), *cols, cut(ids.astype(np.int32), bounds), cut(keys[new], of)], names=[x.split()[0] for x in ENCODED.split(", ")])
                 uid += n
 
     return stored(docs.mapInArrow(run, ENCODED), "ids")
@@ -532,7 +538,7 @@ def scored(ids: DataFrame, lex, model: Model, counts: DataFrame, buckets: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = lex.value, net.value
-        base = np.append(lexicon.base, 0.0)
+        base = np.concatenate([lexicon.base, np.zeros(TAILS + 1)])
         for rows, s in over(batches, lexicon):
             n = rows.num_rows
             score, own = lexicon.rest[s.ids], lexicon.class_of[s.ids]
