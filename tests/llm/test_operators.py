@@ -879,6 +879,13 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect())) == plain_groups([r[:2] for r in rows]) and used
 
 
+def sets_sent(monkeypatch):
+    """How many sets each comparison sends to others, in turn."""
+    counts, put = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: (out := put(df, label), counts.append(out.count()) if label == "sent" else None)[0])
+    return counts
+
+
 def test_pairs_in_bounded_chunks(monkeypatch):
     rng = np.random.default_rng(3)
     size = rng.integers(2, 9, 60)
