@@ -886,6 +886,31 @@ def sets_sent(monkeypatch):
     return counts
 
 
+@pytest.mark.parametrize("direct", [False, True])
+def test_jaccard_sends_by_family(spark, monkeypatch, direct):
+    """Near copies that meet in very many lists are sent once for each two blocks, not once a pair
+    or list, also where no round of pivots comes before."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    if direct:
+        links = jaccard.all_links
+        monkeypatch.setattr(jaccard, "LEVELS", 0)
+        monkeypatch.setattr(jaccard, "all_links", lambda *a: links(*a[:-1], 0))
+    rows = near_copies(12, 2, 140, 6)
+    counts = sets_sent(monkeypatch)
+    assert Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect())) == plain_groups([r[:2] for r in rows])
+    assert max(counts) <= 2 * len(rows)
+
+
+def test_bitmaps():
+    rng = np.random.default_rng(5)
+    docs = [np.unique(rng.integers(0, 1 << 48, rng.integers(1, 9000), dtype=np.uint64)) for _ in range(6)]
+    docs += [np.r_[docs[0][:-3], docs[1][:2]], docs[0]]
+    maps = jaccard.bitmaps(docs)
+    for x, y in itertools.combinations(range(len(docs)), 2):
+        assert np.bitwise_count(maps[x] ^ maps[y]).sum() <= len(np.setxor1d(docs[x], docs[y]))
+    assert (maps[0] == maps[-1]).all()
+
+
 def test_pairs_in_bounded_chunks(monkeypatch):
     rng = np.random.default_rng(3)
     size = rng.integers(2, 9, 60)
