@@ -901,6 +901,22 @@ def test_jaccard_sends_by_family(spark, monkeypatch, direct):
     assert max(counts) <= 2 * len(rows)
 
 
+@pytest.mark.parametrize("block,several", [(1 << 21, False), (400, True)])
+def test_jaccard_large_blocks(spark, monkeypatch, block, several):
+    """Blocks are as large as their shingles allow, so a family of many short sets is sent few
+    times; sets in different blocks find their links too."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "PARTNERS", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", block, raising=False)
+    monkeypatch.setattr(jaccard, "LEVELS", 0)
+    links = jaccard.all_links
+    monkeypatch.setattr(jaccard, "all_links", lambda *a: links(*a[:-1], 0))
+    rows = near_copies(13, 2, 140, 6)
+    counts = sets_sent(monkeypatch)
+    assert Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect())) == plain_groups([r[:2] for r in rows])
+    assert (counts[-1] > len(rows)) == several and counts[-1] <= 8 * len(rows)
+
+
 def test_bitmaps():
     rng = np.random.default_rng(5)
     docs = [np.unique(rng.integers(0, 1 << 48, rng.integers(1, 9000), dtype=np.uint64)) for _ in range(6)]
