@@ -917,6 +917,23 @@ def test_jaccard_large_blocks(spark, monkeypatch, block, several):
     assert (counts[-1] > len(rows)) == several and counts[-1] <= 8 * len(rows)
 
 
+def test_jaccard_sends_near_misses_once(spark, monkeypatch):
+    """Sets that share many shingles without a link are sent a few times each, not once a pair, and
+    a link among them that no nearest pair shows is found."""
+    monkeypatch.setattr(jaccard, "LONG_FROM", 1000)
+    rng, rows = random.Random(14), near_copies(14, 3, 12, 3)
+    for f in range(3):
+        base = [f"m{f}w{k}" for k in range(120)]
+        for _ in range(40):
+            t = list(base)
+            for k in rng.sample(range(120), rng.choice([1, 3, 6, 6, 6])):
+                t[k] = f"n{rng.random()}"
+            rows.append((len(rows), " ".join(t), "en", "a", 1))
+    counts = sets_sent(monkeypatch)
+    assert Counter(map(tuple, jaccard.groups(frame(spark, rows)).collect())) == plain_groups([r[:2] for r in rows])
+    assert max(counts) <= 3 * len(rows)
+
+
 def test_bitmaps():
     rng = np.random.default_rng(5)
     docs = [np.unique(rng.integers(0, 1 << 48, rng.integers(1, 9000), dtype=np.uint64)) for _ in range(6)]
