@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,22 @@ def test_properties(a, b):
     assert scores.common_length(a, b) == scores.common_length(b, a) == plain_lcs(a, b)
 
 
+@pytest.mark.parametrize("longest,alphabet", [(14, "abc天"), (130, "abcd"), (400, "ab天😀")])
+def test_edit_counts_together(longest, alphabet):
+    """Pairs aligned together, of like and unlike lengths and with nulls, have what each has alone."""
+    rng = random.Random(longest)
+    refs, preds = ([*("".join(rng.choices(alphabet, k=rng.randint(0, longest))) for _ in range(90)), *more] for more in (["a" * 126, "a" * 127, "", None, "ab"], ["b" * 126, "b" * 126, "xyz", "q", None]))
+    got = scores.edit_counts.func(pd.Series(refs), pd.Series(preds)).values.tolist()
+    assert got == [[*scores.align(r or "", p or "")] for r, p in zip(refs, preds, strict=True)]
+    assert not len(scores.edit_counts.func(pd.Series([], dtype=str), pd.Series([], dtype=str)))
+
+
+def test_edit_counts_groups(monkeypatch):
+    """Strings of usual lengths aren't aligned one at a time."""
+    monkeypatch.setattr(scores, "align", None)
+    assert scores.edit_counts.func(pd.Series(["abc", "ab" * 300]), pd.Series(["adcd", "b" * 700])).sum().tolist() == [301, 0, 101]
+
+
 def test_native_equals_python(spark):
     rng = random.Random(3)
     pairs = [("".join(rng.choices("abcd", k=rng.randint(0, 12))), "".join(rng.choices("abcd", k=rng.randint(0, 12)))) for _ in range(60)]

@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 EDITS = T.StructType([T.StructField(c, T.IntegerType()) for c in ("substitutions", "deletions", "insertions")])
 #: Each count in a packed cell (distance, substitutions, deletions, insertions) is below it.
 PACK = 1 << 15
+#: Cells of an anti-diagonal of a group of pairs, about.
+CELLS = 1 << 14
+#: Kinds of packed cells of groups: type, bits of substitutions, longest strings.
+LANES = ((np.uint16, 7, 126), (np.uint32, 15, 32_766))
 
 
 def edit_counts_native(ref: Column, pred: Column) -> Column:
@@ -71,10 +75,67 @@ def align(ref: str, pred: str) -> tuple[int, int, int]:
     return s, d, distance - s - d
 
 
+def like_lengths(refs: list[str], preds: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, a, back, n, m): pairs of about equal lengths together, in ascending order of n + m, as
+    matrices of code points with a column for each pair. Predictions are turned round, so an
+    anti-diagonal of all their tables is one slice of each matrix."""
+    n, m = (np.array([*map(len, x)], np.int64) for x in (refs, preds))
+    band = [np.log2(x + 6.0) * 2.5 // 1 for x in (n, m)]
+    order = np.lexsort((n + m, *band))
+    edges = np.flatnonzero(np.r_[True, np.any([b[order][1:] != b[order][:-1] for b in band], axis=0), True]) if len(order) else []
+    for start, stop in zip(edges, edges[1:], strict=False):
+        step = max(1, CELLS // (1 + int(np.minimum(n[order[start:stop]], m[order[start:stop]]).max())))
+        for k in range(start, stop, step):
+            rows = order[k : min(k + step, stop)]
+            yield rows, code_points([refs[r] for r in rows], n[rows], False), code_points([preds[r] for r in rows], m[rows], True), n[rows], m[rows]
+
+
+def code_points(strings: list[str], size: np.ndarray, turned: bool) -> np.ndarray:
+    """A column of code points for each string, zeros where it is shorter than the longest."""
+    out = np.zeros((int(size.max()), len(strings)), np.uint32)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[len(out) - 1 - at if turned else at, np.repeat(np.arange(len(strings)), size)] = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+    return out
+
+
+def alignments(a: np.ndarray, back: np.ndarray, n: np.ndarray, m: np.ndarray, kind: type, bits: int) -> np.ndarray:
+    """S, D, I of all pairs of a group from like_lengths, as align has them. A cell packs its
+    distance, two bits that rank the step (so that the least cell is the one align takes), and
+    substitutions; lengths give the rest."""
+    top, width, total = len(a), len(back), n + m
+    one, sub, left, up = (kind(x) for x in (1 << bits + 2, (1 << bits + 2) + 1, (1 << bits + 2) + (1 << bits), (1 << bits + 2) + (2 << bits)))
+    clean, last = kind(np.iinfo(kind).max ^ (3 << bits)), np.zeros(len(n), kind)
+    before2, before, now = (np.zeros((top + 1, len(n)), kind) for _ in range(3))
+    for k in range(1, top + width + 1):
+        lo, hi = max(1, k - width), min(top, k - 1)
+        if lo <= hi:
+            g = np.multiply(a[lo - 1 : hi] != back[width - k + lo : width - k + hi + 1], sub, dtype=kind)
+            g += before2[lo - 1 : hi]
+            np.minimum(g, before[lo - 1 : hi] + left, out=g)
+            np.minimum(g, before[lo : hi + 1] + up, out=g)
+            np.bitwise_and(g, clean, out=now[lo : hi + 1])
+        if k <= width:
+            now[0] = kind(k) * one
+        if k <= top:
+            now[k] = kind(k) * one
+        i, j = np.searchsorted(total, [k, k + 1])
+        last[i:j] = now[n[i:j], np.arange(i, j)]
+        before2, before, now = before, now, before2
+    distance, s = (last >> kind(bits + 2)).astype(np.int64), (last & kind((1 << bits) - 1)).astype(np.int64)
+    d = (distance - s - (m - n)) // 2
+    return np.stack([s, d, distance - s - d], axis=1)
+
+
 @F.pandas_udf(EDITS)
 def edit_counts(ref: pd.Series, pred: pd.Series) -> pd.DataFrame:
     """S, D and I for strings of any length."""
-    return pd.DataFrame([align(r or "", p or "") for r, p in zip(ref, pred, strict=True)], columns=["substitutions", "deletions", "insertions"], dtype="int32")
+    refs, preds = ([x or "" for x in c] for c in (ref, pred))
+    out = np.zeros((len(refs), 3), np.int64)
+    for rows, *group in like_lengths(refs, preds):
+        longest = max(len(group[0]), len(group[1]))
+        lane = next((x for x in LANES if longest <= x[2]), None)
+        out[rows] = alignments(*group, *lane[:2]) if lane else [align(refs[k], preds[k]) for k in rows]
+    return pd.DataFrame(out, columns=["substitutions", "deletions", "insertions"], dtype="int32")
 
 
 def common_length(a: str, b: str) -> int:
