@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from versefold.functions import scores
 from versefold.functions.text import normalize_target
 from versefold.operators import metrics
+from versefold.plans import catalog
 
 GOLDEN = [("生死由來罷問程，", "生死猶來罷問經，", None), ("天地人", "天大仁人", (1, 0, 1)), ("天地人", "天人", (0, 1, 0)), ("", "", (0, 0, 0)), ("", "ab", (0, 0, 2)), ("ab", "", (0, 2, 0))]
 
@@ -66,6 +67,12 @@ def test_edit_counts_groups(monkeypatch):
     assert scores.edit_counts.func(pd.Series(["abc", "ab" * 300]), pd.Series(["adcd", "b" * 700])).sum().tolist() == [301, 0, 101]
 
 
+def test_name_pairs_spread(spark, sf):
+    """Pairs of a small table are dealt out to all cores."""
+    pairs = catalog.name_pairs(lambda name: catalog.table(spark, sf, name))
+    assert pairs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_native_equals_python(spark):
     rng = random.Random(3)
     pairs = [("".join(rng.choices("abcd", k=rng.randint(0, 12))), "".join(rng.choices("abcd", k=rng.randint(0, 12)))) for _ in range(60)]

@@ -320,10 +320,16 @@ def blank_policy(t) -> DataFrame:
 # --- scores ---------------------------------------------------------------------------------
 
 
+def dealt_out(pairs: DataFrame) -> DataFrame:
+    """Quadratic work on few bytes: rows dealt out by number, so that they aren't gathered in one task."""
+    return pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
+
+
 def name_pairs(t) -> DataFrame:
     """Each part's name and the name 97 parts on, the first after the last."""
     p, n = t("part").select("p_partkey", F.col("p_name").alias("ref")), t("part").count()
-    return p.join(p.select(F.pmod(F.col("p_partkey") - 97, F.lit(n)).alias("at"), F.col("ref").alias("pred")), F.col("p_partkey") == F.col("at")).drop("at").withColumnRenamed("p_partkey", "row_idx")
+    pairs = p.join(p.select(F.pmod(F.col("p_partkey") - 97, F.lit(n)).alias("at"), F.col("ref").alias("pred")), F.col("p_partkey") == F.col("at")).drop("at").withColumnRenamed("p_partkey", "row_idx")
+    return dealt_out(pairs)
 
 
 NAMES_SQL = "np AS (SELECT a.p_partkey AS row_idx, a.p_name AS ref, b.p_name AS pred, string_split(a.p_name, '') AS r, string_split(b.p_name, '') AS p FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 97) % (SELECT count(*) FROM part))"
@@ -377,10 +383,7 @@ def raw_turns(t) -> DataFrame:
 
 @query()
 def turn_scores(t) -> DataFrame:
-    # Quadratic work on few bytes: dealt out by number, so that it isn't gathered in one task.
-    pairs = turn_pairs(t)
-    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
-    return metrics.details(pairs).select("row_idx", "exact_match", "edit_distance", "substitutions", "deletions", "insertions", F.round("news_fscore", 6).alias("news_fscore"))
+    return metrics.details(dealt_out(turn_pairs(t))).select("row_idx", "exact_match", "edit_distance", "substitutions", "deletions", "insertions", F.round("news_fscore", 6).alias("news_fscore"))
 
 
 def plain_sql(column: str) -> str:
