@@ -345,12 +345,14 @@ LCS_SQL = """lc AS (SELECT *, list_reduce(p, lambda row, c: list_reduce(generate
 
 @query(f"WITH {NAMES_SQL}, {EDIT_SQL} SELECT row_idx, CAST(c // 1000000000 AS INTEGER) AS edit_distance, CAST(c // 1000000 % 1000 AS INTEGER) AS substitutions, CAST(c // 1000 % 1000 AS INTEGER) AS deletions, CAST(c % 1000 AS INTEGER) AS insertions FROM ec")
 def edit_counts(t) -> DataFrame:
-    return metrics.details(name_pairs(t), native=True).select("row_idx", "edit_distance", "substitutions", "deletions", "insertions")
+    known = F.col("ref").isNotNull() & F.col("pred").isNotNull()
+    return metrics.details(name_pairs(t)).select("row_idx", *(F.when(known, F.col(c)).alias(c) for c in ("edit_distance", "substitutions", "deletions", "insertions")))
 
 
 @query(f"WITH {NAMES_SQL}, {LCS_SQL} SELECT row_idx, CAST(cells[len(cells)] AS INTEGER) AS lcs, round(2.0 * cells[len(cells)] / (len(r) + len(p)), 6) AS news_fscore FROM lc")
 def lcs_fscore(t) -> DataFrame:
-    rows = name_pairs(t).withColumn("lcs", scores.lcs_length_native(F.col("ref"), F.col("pred")))
+    known = F.col("ref").isNotNull() & F.col("pred").isNotNull()
+    rows = name_pairs(t).withColumn("lcs", F.when(known, scores.lcs_length(F.col("ref"), F.col("pred"))))
     return rows.select("row_idx", "lcs", F.round(scores.fscore(F.col("lcs"), F.col("ref"), F.col("pred")), 6).alias("news_fscore"))
 
 
