@@ -934,6 +934,20 @@ def test_jaccard_sends_near_misses_once(spark, monkeypatch):
     assert max(counts) <= 3 * len(rows)
 
 
+def test_one_each_sends_near_misses_once(spark, monkeypatch):
+    """As the pipeline's stage near_duplicates calls it: all near misses stay, each sent a few times."""
+    monkeypatch.setattr(jaccard, "LONG_FROM", 1000)
+    rng, rows = random.Random(15), []
+    for _ in range(40):
+        t = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), 7):
+            t[k] = f"n{rng.random()}"
+        rows.append((len(rows), " ".join(t), "en", "a", 1))
+    counts = sets_sent(monkeypatch)
+    kept = {r.doc_id for r in jaccard.one_each(frame(spark, rows)).collect()}
+    assert kept == {least for _, _, least in plain_groups([r[:2] for r in rows])} and max(counts) <= 3 * len(rows)
+
+
 def test_bitmaps():
     rng = np.random.default_rng(5)
     docs = [np.unique(rng.integers(0, 1 << 48, rng.integers(1, 9000), dtype=np.uint64)) for _ in range(6)]
